@@ -68,11 +68,11 @@ def mix_sources(
     rates = rates.select("_source", poisson_steps(F.col("_weight") / F.col("_all") * wanted / F.col("_n")).alias("_steps"))
 
     at = uniform(seed, F.col(id_col))
-    steps = small(rates.withColumnRenamed("_source", "_of"), 10_000)
-    copies = F.size(F.filter("_steps", lambda s: s < F.col("_at")))
-    out = docs.withColumn("_at", at).join(steps, F.col(source_col).eqNullSafe(F.col("_of")))
-    out = out.withColumn("_copies", copies).where("_copies > 0").drop("_steps", "_of", "_at")
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
-    out = out.withColumn("_order", F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col), F.col("_copy"))))
-    out = out.repartition("_order").sortWithinPartitions("_order").drop("_order")
-    return out.drop("_copy") if copy_col is None else out.withColumn(copy_col, F.col("_copy")).drop("_copy")
+    steps = small(rates.select(F.col("_source").alias("__mix_of"), F.col("_steps").alias("__mix_steps")), 10_000)
+    copies = F.size(F.filter("__mix_steps", lambda s: s < F.col("__mix_at")))
+    out = docs.withColumn("__mix_at", at).join(steps, F.col(source_col).eqNullSafe(F.col("__mix_of")))
+    out = out.withColumn("__mix_copies", copies).where("__mix_copies > 0").drop("__mix_steps", "__mix_of", "__mix_at")
+    out = out.withColumn("__mix_copy", F.explode(F.sequence(F.lit(0), F.col("__mix_copies") - 1))).drop("__mix_copies")
+    out = out.withColumn("__mix_order", F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col), F.col("__mix_copy"))))
+    out = out.repartition("__mix_order").sortWithinPartitions("__mix_order").drop("__mix_order")
+    return out.drop("__mix_copy") if copy_col is None else out.withColumn(copy_col, F.col("__mix_copy")).drop("__mix_copy")
