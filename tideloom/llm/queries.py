@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, mixing, secrets, token_counts, toxicity, warc
+from . import exact_dedup, licenses, line_dedup, mixing, secrets, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), size_col="n_chars", counts=True)
+    return out.select("doc_id", "n_lines", "n_dropped", "n_chars", "text")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -45,7 +50,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_exact_dedup, op5_license_scan, op6_token_counts, op8_toxicity, op9_secret_scan, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_exact_dedup, op5_license_scan, op6_token_counts, op8_toxicity, op9_secret_scan, op10_mix_sources)}
 
 ORACLE_SQL = {
     "op2_warc": """
