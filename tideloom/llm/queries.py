@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, line_dedup, mixing, secrets, token_counts, toxicity, warc
+from . import exact_dedup, licenses, line_dedup, mixing, ngram_join, secrets, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), 4, 85)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_exact_dedup, op5_license_scan, op6_token_counts, op8_toxicity, op9_secret_scan, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_exact_dedup, op4_ngram_join, op5_license_scan, op6_token_counts, op8_toxicity, op9_secret_scan, op10_mix_sources)}
 
 ORACLE_SQL = {
     "op2_warc": """
