@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BROADCAST_ROWS = 200_000
 
 _local: list[str] = []
+_scope: ContextVar[list[str] | None] = ContextVar("stashed", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,15 +45,31 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    if (held := _scope.get()) is not None:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def unstash(df: DataFrame) -> None:
     """Remove the files of a stashed table that no later plan reads."""
-    spark = df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        remove(df.sparkSession, path)
+
+
+@contextmanager
+def stashing() -> Iterator[list[str]]:
+    """Within it, the paths that ``stash`` writes are gathered in the list it gives."""
+    held: list[str] = []
+    token = _scope.set(held)
+    try:
+        yield held
+    finally:
+        _scope.reset(token)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

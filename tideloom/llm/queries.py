@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, line_dedup, mixing, ngram_join, secrets, token_counts, toxicity, warc
+from . import decontam, exact_dedup, licenses, line_dedup, mixing, ngram_join, secrets, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary(), 2048)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,7 +58,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_exact_dedup, op4_ngram_join, op5_license_scan, op6_token_counts, op8_toxicity, op9_secret_scan, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_exact_dedup, op4_ngram_join, op5_license_scan, op6_token_counts, op7_decontamination, op8_toxicity, op9_secret_scan, op10_mix_sources)}
 
 ORACLE_SQL = {
     "op2_warc": """
