@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Identifier and text of licence notices.
@@ -25,9 +28,8 @@ TEMPLATES = [
 
 
 def words_of(text: str) -> list[str]:
-    """Words of a normalised text: ASCII lower case, runs of other than letters, digits, dots and hyphens cut."""
-    lower = "".join(c.lower() if c.isascii() else c for c in text)
-    cut = "".join(c if c.isalnum() and c.isascii() or c in ".-" else " " for c in lower)
+    """Words of a normalised text: in lower case, runs of ASCII letters, digits, and dots and hyphens between them."""
+    cut = "".join(c if c.isalnum() and c.isascii() or c in ".-" else " " for c in text.lower())
     return [w for w in (x.strip(".-") for x in cut.split()) if w]
 
 
@@ -38,8 +40,23 @@ def bigrams_of(text: str) -> set[str]:
 
 def words_column(text: Column) -> Column:
     """The same as ``words_of`` in Spark."""
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lower, F.lit(r"[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?"), F.lit(0))
+
+
+def telling_words(grams: list[str], threshold: float) -> list[str]:
+    """Words of which every text that matches these bigrams has one.
+
+    A match holds more than t / (2-t) of the template's bigrams, so the words of any larger part than the rest of them
+    will do; long words are taken first.
+    """
+    left, missing = set(grams), len(grams) - ceil(len(grams) * threshold / (2 - threshold) - 1e-9)
+    chosen = []
+    for word in sorted({w for g in grams for w in g.split(" ")}, key=lambda w: (-len(w), w)):
+        if len(grams) - len(left) > missing:
+            break
+        chosen.append(word)
+        left = {g for g in left if word not in g.split(" ")}
+    return chosen
 
 
 def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,14 +65,14 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: list[tuple
 
     Every line of a text is a unit, and so is the whole text.  A unit matches if its set of word bigrams and that of a
     template have a Dice coefficient 2|A∩B| / (|A|+|B|) of at least ``threshold``.  A template is compared only if the
-    sizes allow that: t / (2-t) <= |A| / |B| <= (2-t) / t; and a unit with fewer words than the least set has bigrams
-    needs no set at all.  Null and empty texts match nothing (null ``license``, ``dice`` 0); null and repeated ids keep
+    sizes allow that: t / (2-t) <= |A| / |B| <= (2-t) / t.  Of texts and lines without any of the templates' telling
+    words no words are cut at all.  Null and empty texts match nothing (null ``license``, ``dice`` 0); null and repeated ids keep
     their rows; an empty table gives an empty result; other columns are not read.  All work is within the row.
     """
     grams = [(name, sorted(bigrams_of(text))) for name, text in templates]
     grams = [(name, g) for name, g in grams if g]
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    least = min(len(g) for _, g in grams) * low
+    hints = sorted({w for _, g in grams for w in telling_words(g, threshold)})
     known = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(n).alias("name"), F.array(*map(F.lit, g)).alias("grams"), F.lit(len(g)).alias("size")) for i, (n, g) in enumerate(grams)])
 
     def matches(unit: Column) -> Column:
@@ -73,12 +90,14 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: list[tuple
         # one-element transforms bind a value to a name, so that it is worked out once
         return F.transform(F.array(pairs), best)[0]
 
+    def may_match(unit: Column) -> Column:
+        return reduce(Column.__or__, [F.contains(F.lower(unit), F.lit(w)) for w in hints])
+
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n", -1)
     units = F.when(F.size(lines) > 1, F.concat(lines, F.array(text))).otherwise(lines)
-    # n bigrams need n + 1 words, and those 2n + 1 characters
-    long = F.filter(units, lambda u: F.length(u) >= F.lit(int(2 * (least + 1) - 1)))
-    found = F.filter(F.transform(long, matches), lambda m: m.isNotNull())
+    found = F.filter(F.transform(F.filter(units, may_match), matches), lambda m: m.isNotNull())
+    found = F.when(may_match(text), found).otherwise(F.filter(F.transform(F.array(F.lit("")), matches), lambda m: F.lit(False)))
     rows = docs.select(F.col(id_col).alias("_id"), found.alias("_found"))
     top = F.array_max("_found")
     return rows.select(
