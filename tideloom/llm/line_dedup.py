@@ -13,6 +13,8 @@ the segment in question has its deletions emitted.  Nothing is lost by that.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import small, stash
@@ -24,7 +26,9 @@ SEGMENT, FEW, MANY = 32, 4, 64
 
 
 def _trimmed(line: Column) -> Column:
-    return F.trim(line, F.lit(" \t\r\x0b\x0c"))
+    blanks = " \t\r\x0b\x0c"
+    framed = reduce(Column.__or__, [c for b in blanks for c in (F.startswith(line, F.lit(b)), F.endswith(line, F.lit(b)))])
+    return F.when(framed, F.trim(line, F.lit(blanks))).otherwise(line)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -42,50 +46,48 @@ def _half(size: Column) -> Column:
     return (F.floor(size / 16) * 8).cast("int")
 
 
-def _half_keys(line: Column) -> Column:
-    """Hashes of the first and last half (rounded down to a multiple of 8 characters); if the next larger length rounds
-    to another half, of that too, for lines that are one character longer."""
-    size = F.char_length(line)
-    here, there = _half(size), _half(size + 1)
-    one = lambda side, n, k: F.xxhash64(F.lit(k), n, side(line, n))
-    keys = [one(F.left, here, 0), one(F.right, here, 1)]
-    keys += [F.when(there != here, one(side, there, k)) for side, k in ((F.left, 0), (F.right, 1))]
-    return F.when(size >= NEAR_CHARS - 1, F.filter(F.array(*keys), lambda k: k.isNotNull())).otherwise(F.array().cast("array<bigint>"))
-
-
-def _segment_keys(line: Column) -> Column:
-    """For each segment, as one of a line of the own length, and of a line one longer: a hash of all the rest."""
-    size = F.char_length(line)
-
-    def of(short: int) -> Column:
-        length = size + short
-        many = F.least(F.greatest((length / SEGMENT).cast("int"), F.lit(FEW)), F.lit(MANY))
-
-        def key(j: Column) -> Column:
-            begin, end = F.floor(j * length / many).cast("int"), (F.floor((j + 1) * length / many) - short).cast("int")
-            rest = F.xxhash64(length, j, F.left(line, begin), F.right(line, size - end))
-            return F.struct(rest.alias("rest"), F.lit(bool(short)).alias("short"), F.substring(line, begin + 1, end - begin).alias("segment"))
+KEYS = ["_key0", "_key1", "_key2", "_key3"]
 
-        return F.transform(F.sequence(F.lit(0), many - 1), key)
 
-    return F.concat(of(0), of(1))
+def _half_keys(lines: DataFrame) -> DataFrame:
+    """``lines`` with hashes of the first and last half (rounded down to a multiple of 8 characters); if the next larger
+    length rounds to another half, of that too, for lines that are one character longer."""
+    rows = lines.withColumn("_size", F.char_length("_line"))
+    rows = rows.withColumns({"_here": _half(F.col("_size")), "_there": _half(F.col("_size") + 1)})
+    long = F.col("_size") >= NEAR_CHARS - 1
+    keys = {}
+    for k, (side, n) in enumerate([(F.left, "_here"), (F.right, "_here"), (F.left, "_there"), (F.right, "_there")]):
+        fits = long if k < 2 else long & (F.col("_there") != F.col("_here"))
+        keys[KEYS[k]] = F.when(fits, F.xxhash64(F.lit(k % 2), n, side(F.col("_line"), F.col(n))))
+    return rows.withColumns(keys).drop("_size", "_here", "_there")
 
 
-def _variants(segment: Column, short: Column) -> Column:
-    """The segment less each of its characters in turn; of one that is short already, itself at place -1."""
-    whole = F.array(F.struct(F.lit(-1).alias("place"), F.xxhash64(segment).alias("variant")))
-    size = F.char_length(segment)
+def _segments(texts: DataFrame) -> DataFrame:
+    """A row for each segment of each line, as one of a line of the own length, and of a line one longer (``short``):
+    ``rest``, a hash of all but the segment, and the ``segment``."""
+    rows = texts.select("_line_hash", "_first", "_line", F.char_length("_line").alias("size"), F.explode(F.array(F.lit(0), F.lit(1))).alias("short"))
+    rows = rows.withColumn("length", F.col("size") + F.col("short"))
+    rows = rows.withColumn("many", F.least(F.greatest((F.col("length") / SEGMENT).cast("int"), F.lit(FEW)), F.lit(MANY)))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    bound = lambda j: F.floor(j * F.col("length") / F.col("many")).cast("int")
+    rows = rows.withColumns({"begin": bound(F.col("j")), "end": bound(F.col("j") + 1) - F.col("short")})
+    rest = F.xxhash64("length", "j", F.left("_line", F.col("begin")), F.substring("_line", F.col("end") + 1, F.col("size")))
+    return rows.select("_line_hash", "_first", (F.col("short") == 1).alias("short"), rest.alias("rest"), F.substring("_line", F.col("begin") + 1, F.col("end") - F.col("begin")).alias("segment"))
 
-    def less(i: Column) -> Column:
-        return F.struct(i.alias("place"), F.xxhash64(F.concat(F.left(segment, i), F.right(segment, size - 1 - i))).alias("variant"))
 
-    return F.when(short, whole).otherwise(F.transform(F.sequence(F.lit(0), size - 1), less))
+def _variants(parts: DataFrame) -> DataFrame:
+    """The segments less each of their characters in turn; those that are short already, themselves at place -1."""
+    size = F.char_length("segment")
+    places = F.when(F.col("short"), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), size - 1))
+    rows = parts.select("_line_hash", "_first", "rest", "segment", F.explode(places).alias("place"))
+    less = F.concat(F.left("segment", F.col("place")), F.substring("segment", F.col("place") + 2, size))
+    return rows.select("_line_hash", "_first", "rest", "place", F.when(F.col("place") < 0, F.xxhash64("segment")).otherwise(F.xxhash64(less)).alias("variant"))
 
 
 def superseded(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """``_line_hash`` of the lines that have an earlier one within one edit.  ``firsts`` has a row for each distinct
-    line: ``_line_hash``, ``_first``, ``_keys``."""
-    keys = firsts.select("_line_hash", F.explode("_keys").alias("_key"))
+    line: ``_line_hash``, ``_first`` and the keys of its halves."""
+    keys = firsts.select("_line_hash", F.explode(F.array(*KEYS)).alias("_key")).where("_key is not null")
     shared = keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key")
     partners = keys.join(shared, "_key", "left_semi").select("_line_hash").distinct()
     partners = stash(partners.join(firsts, "_line_hash").select("_line_hash", "_first"), "partners")
@@ -93,10 +95,9 @@ def superseded(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     texts = lines.withColumn("_at", _order()).join(small(partners), (F.unhex(F.md5("_line")) == F.col("_line_hash")) & (F.col("_at") == F.col("_first")))
     texts = stash(texts.groupBy("_line_hash").agg(F.min("_first").alias("_first"), F.min("_line").alias("_line")), "near-lines")
 
-    parts = texts.where(F.char_length("_line") >= NEAR_CHARS - 1).select("_line_hash", "_first", F.explode(_segment_keys(F.col("_line"))).alias("_s")).select("_line_hash", "_first", "_s.*")
+    parts = stash(_segments(texts.where(F.char_length("_line") >= NEAR_CHARS - 1)), "segments")
     rests = parts.groupBy("rest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("rest")
-    parts = parts.join(rests, "rest", "left_semi")
-    variants = stash(parts.select("_line_hash", "_first", "rest", F.explode(_variants(F.col("segment"), F.col("short"))).alias("_v")).select("_line_hash", "_first", "rest", "_v.*"), "variants")
+    variants = stash(_variants(parts.join(rests, "rest", "left_semi")), "variants")
 
     same = variants.where("place >= 0").groupBy("rest", "variant", "place").agg(F.min("_first").alias("_witness"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     longer = variants.where("place >= 0").groupBy("rest", "variant").agg(F.min("_first").alias("_witness"))
@@ -115,8 +116,9 @@ def superseded(lines: DataFrame, firsts: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_id``, ``_text_hash`` and the sorted line numbers ``_dropped`` of the rows that lose lines."""
     lines = _lines(docs, id_col, text_col)
-    held = stash(lines.select("_id", "_text_hash", "_pos", F.unhex(F.md5("_line")).alias("_line_hash"), _half_keys(F.col("_line")).alias("_keys")), "lines")
-    firsts = held.groupBy("_line_hash").agg(F.min(_order()).alias("_first"), F.count(F.lit(1)).alias("_n"), F.first("_keys").alias("_keys"))
+    held = _half_keys(lines).select("_id", "_text_hash", "_pos", F.unhex(F.md5("_line")).alias("_line_hash"), *KEYS)
+    held = stash(held, "lines")
+    firsts = held.groupBy("_line_hash").agg(F.min(_order()).alias("_first"), F.count(F.lit(1)).alias("_n"), *[F.max(k).alias(k) for k in KEYS])
     firsts = stash(firsts, "first-lines")
     gone = stash(superseded(lines, firsts), "superseded")
     decided = firsts.where("_n > 1").select("_line_hash", "_first").join(gone, "_line_hash", "left_anti")
