@@ -22,7 +22,7 @@ TOKEN = re.compile(r"\w+|\n")
 FOLDS = 5
 #: Training takes at most so many labelled rows of each class (those of the smallest MD5 of the id), of texts of at
 #: most so many bytes; scoring takes every row and whole texts.
-SAMPLE_ROWS, SAMPLE_BYTES = 2000, 16_000
+SAMPLE_ROWS, SAMPLE_BYTES = 1000, 16_000
 #: A worker forgets its scores of words beyond this many; texts are scored in groups of so many characters.
 CACHE_WORDS, GROUP_CHARS = 1_000_000, 4_000_000
 #: A character sequence longer than this is no word: only its first and last characters give features.
