@@ -21,8 +21,8 @@ def hull(a_vs: Column, a_ve: Column, b_vs: Column, b_ve: Column) -> tuple[Column
 def coalesce(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The canonical form per key: the fewest intervals that cover the same instants.  Touching intervals merge, empty
     ones vanish.  Columns other than the keys, ``vs`` and ``ve`` are dropped."""
-    rows = rows.where("vs < ve").groupBy(*keys, "vs").agg(F.max("ve").alias("ve"))
-    by = Window.partitionBy(*keys).orderBy("vs")
+    rows = rows.where("vs < ve").select(*keys, "vs", "ve")
+    by = Window.partitionBy(*keys).orderBy("vs", "ve")  # one exchange serves the windows and the grouping
     rows = rows.withColumn("_reach", F.max("ve").over(by.rowsBetween(Window.unboundedPreceding, -1)))
     opens = F.when(F.col("_reach").isNull() | (F.col("vs") > F.col("_reach")), 1).otherwise(0)
     rows = rows.withColumn("_island", F.sum(opens).over(by.rowsBetween(Window.unboundedPreceding, 0)))

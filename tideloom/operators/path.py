@@ -26,18 +26,21 @@ def product_edges(edges: DataFrame, dfa: Dfa) -> DataFrame:
     return wanted.join(F.broadcast(moves), "label").drop("label")
 
 
-def path_query(edges: DataFrame, expression: str | Dfa, by: tuple[str, ...] = (), timed: bool = False, max_rounds: int = 10_000) -> DataFrame:
+def path_query(edges: DataFrame, expression: str | Dfa, by: tuple[str, ...] = (), timed: bool = False, max_rounds: int = 10_000, canonical: bool = False) -> DataFrame:
     """``by, src, trg`` (and ``vs, ve`` if ``timed``) such that a walk from ``src`` to ``trg`` spells a word of the
     expression.
 
     ``edges`` has ``by``, ``src``, ``label``, ``trg``, and with ``timed`` ``vs`` and ``ve``: then a walk is valid while
     all its edges are, and results are coalesced.  Walks have an edge at least: the empty word gives no pair, but a
-    cycle gives (x, x).  ``max_rounds`` guards against endless runs, and raises.
+    cycle gives (x, x).  ``max_rounds`` guards against endless runs, and raises.  ``canonical`` says that the edges are
+    distinct, or coalesced, already.
     """
     dfa = compile_path(expression) if isinstance(expression, str) else expression
     spark, keys, interval = edges.sparkSession, [*by, "root", "v", "st"], ["vs", "ve"] * timed
     steps = product_edges(edges, dfa).select(*by, "src", "st", F.col("trg").alias("v2"), "st2", *interval)
-    steps = coalesce(steps, [*by, "src", "st", "v2", "st2"]) if timed else steps.distinct()
+    moves = [(s, t) for s, _, t in dfa.rows()]
+    if not canonical or len(set(moves)) < len(moves):
+        steps = coalesce(steps, [*by, "src", "st", "v2", "st2"]) if timed else steps.distinct()
     base = new_path(spark, "steps")
     written(steps, base)
     steps = table(spark, steps, base)

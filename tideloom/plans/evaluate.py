@@ -73,7 +73,7 @@ class Evaluation:
         rows = streams[0]
         for s in streams[1:]:
             rows = rows.unionByName(s)
-        return path_query(rows, p.expression, by, timed)
+        return path_query(rows, p.expression, by, timed, canonical=True)
 
 
 def at_instant(edges: DataFrame, plan: Plan, instant: int, window: int) -> DataFrame:
