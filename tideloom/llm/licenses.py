@@ -71,7 +71,8 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: list[tuple
     """
     grams = [(name, sorted(bigrams_of(text))) for name, text in templates]
     grams = [(name, g) for name, g in grams if g]
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    # the bounds of sizes; a little wider, as they are rounded
+    low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
     hints = sorted({w for _, g in grams for w in telling_words(g, threshold)})
     known = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(n).alias("name"), F.array(*map(F.lit, g)).alias("grams"), F.lit(len(g)).alias("size")) for i, (n, g) in enumerate(grams)])
 
