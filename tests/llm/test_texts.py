@@ -1,0 +1,171 @@
+"""Token counts, toxicity, secrets and licences."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from tideloom.llm import licenses, secrets, token_counts, toxicity
+
+tokenizers = pytest.importorskip("public_tokenizers")
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def frame(spark, data, schema="doc_id long, text string"):
+    return spark.createDataFrame(data, schema)
+
+
+def test_token_counts(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rnd = random.Random(1)
+
+    def one():
+        k = rnd.random()
+        if k < 0.3:
+            return chr(rnd.choice([rnd.randrange(32, 127), rnd.randrange(0, 0x300), rnd.randrange(0x300, 0xD800), rnd.randrange(0xE000, 0x2FFFF)]))
+        if k < 0.4:
+            return rnd.choice(["<|endoftext|>", "<|startoftext|>", "<|", "ΑΣ", "Σ", "'s", "'ll", "İ", "\x1c", "\x85", "aaaaaaa"])
+        return rnd.choice("aaabbthe .,\n\t09")
+
+    texts = ["".join(one() for _ in range(rnd.randrange(0, 60))) for _ in range(3000)] + ["a" * k for k in range(40)] + ["thing " * 30_000]
+    data = [*enumerate(texts), (None, None), (9000, None), (0, texts[0])]
+    expected = [len(e.ids) for e in library.encode_batch([t or "" for _, t in data], add_special_tokens=False)]
+    brute = sorted(((i, len((t or "").encode()), n, n > 2048) for (i, t), n in zip(data, expected)), key=repr)
+    docs = frame(spark, [(*r, 1) for r in data], "doc_id long, text string, n_tokens long")
+    assert rows(token_counts.count_tokens(docs, path, 2048)) == brute
+    assert rows(token_counts.count_tokens(docs.limit(0), path, 2048)) == []
+
+
+def test_passes_against_enumeration():
+    rnd = np.random.default_rng(0)
+    e, trans, first = rnd.normal(size=9), rnd.normal(size=(2, 2)), 0.4
+    starts, ends = np.array([0, 4, 5]), np.array([4, 5, 9])
+    odds = np.add(*toxicity.passes(e, starts, ends, trans, first))
+    for a, b in zip(starts, ends):
+        weight = np.zeros((2, b - a))
+        for code in range(2 ** (b - a)):
+            s = [code >> k & 1 for k in range(b - a)]
+            w = np.exp(s[0] * first + sum(x * y for x, y in zip(s, e[a:b])) + sum(trans[x, y] for x, y in zip(s, s[1:])))
+            for k, x in enumerate(s):
+                weight[x, k] += w
+        assert np.allclose(odds[a:b], np.log(weight[1] / weight[0]))
+
+
+def talk(seed, number):
+    rnd = random.Random(seed)
+    syllables = ["an", "the", "or", "in", "es", "ion", "at", "re", "st", "ou"]
+    word = lambda: "".join(rnd.choice(syllables) for _ in range(rnd.randrange(1, 4)))
+    data, labels = [], []
+    for i in range(number):
+        words = [word() for _ in range(rnd.randrange(20, 120))]
+        toxic = rnd.random() < 0.25
+        for _ in range(rnd.randrange(1, 5) if toxic else 0):
+            words.insert(rnd.randrange(len(words)), rnd.choice(["grumpf", "Blorch!", "qwux" + word(), "qwux" + word()]))
+        data.append((i, " ".join(w + rnd.choice(["", "", "", ".\n"]) for w in words)))
+        if rnd.random() < 0.8:
+            labels.append((i, 1, int(toxic)))
+        elif toxic:
+            labels.append((i, None, None))
+    return data, labels
+
+
+def test_toxicity_on_held_out_rows(spark):
+    data, labels = talk(2, 900)
+    extra = [(5000, None), (5001, ""), (None, "grumpf again"), (5002, "plain words " * 9000)]
+    docs = frame(spark, [(*r, "x") for r in data + extra], "doc_id long, text string, score string")
+    known = frame(spark, labels + [(5001, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in toxicity.score_toxicity(docs, known).collect()}
+    truth = {i: y for i, _, y in labels if y is not None}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(out[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _ in data)
+    right = sum(out[i].predicted == truth[i] for i in held)
+    assert right >= 0.97 * len(held)
+    assert out[5000].predicted == out[5001].predicted == out[5002].predicted == 0 and not out[None].held_out
+    spans = [out[i].spans for i in truth if truth[i] and out[i].predicted]
+    texts = dict(data)
+    words = [texts[i][int(s.split(":")[0]) : int(s.split(":")[1])] for i in truth if truth[i] for s in out[i].spans.split(",") if s]
+    assert spans and sum(bool(re.match("grumpf|blorch|qwux", w.lower())) for w in words) >= 0.95 * len(words)
+    kept = toxicity.keep_clean(docs, known)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i, r in out.items() if i is not None and not r.predicted)
+
+
+def test_toxicity_without_labels(spark):
+    docs = frame(spark, [(1, "a b"), (2, None)])
+    none = frame(spark, [], "doc_id long, toxic int")
+    assert [r.predicted for r in toxicity.score_toxicity(docs, none).collect()] == [0, 0]
+    assert toxicity.score_toxicity(docs.limit(0), none).count() == 0
+
+
+ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def secrets_brute(text):
+    t = text or ""
+    base = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    base += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    base += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    base.sort()
+    joined = ",".join(f"{k}:{s}:{e}" for s, _, k, e in base)
+    return [sum(x[2] == k for x in base) for k in ("assign", "access", "hex")], hashlib.sha256(joined.encode()).hexdigest(), joined
+
+
+def test_secrets(spark):
+    rnd = random.Random(4)
+    bits = ["password", "PassWd", "api_key", "APIKEY", "token", "secret", "=", ":", " = ", '": "', "'", " ", "\n", "é", "𝒳", "abc", "a1b2c3d4", "0123456789abcdef", "f" * 30, "AKIA", "AKIA" + "Z9" * 8, "AKIA" + "Q" * 15, "x=y", "token=token:abcdefgh", "ſecret=abcdefg", "toKen=abcdefgh"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(0, 25))) for _ in range(600)] + [None, "", "a" * 100_000 + " token=abcdef " + "e1" * 40]
+    data = [(i if i % 50 else None, t, f"s{i % 7}", "en", "q") for i, t in enumerate(texts)]
+    docs = frame(spark, data + data[:2], "doc_id long, text string, source string, lang string, spans string")
+    got = sorted(((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in secrets.scan_secrets(docs).collect()), key=repr)
+    expected = sorted(((i, *secrets_brute(t)[0], *secrets_brute(t)[1:]) for i, t, *_ in data + data[:2]), key=repr)
+    assert got == expected
+    assert secrets.scan_secrets(docs.limit(0)).count() == 0
+
+
+def test_secret_ownership(spark):
+    common, own = "token=exampleexample1", "token=mineminemine22"
+    data = [(i, common if i < 5 else own, f"o{i}" if i < 5 else "o9", "en") for i in range(8)] + [(8, common + " " + own, None, None), (9, "-----BEGIN RSA PRIVATE KEY-----", "o1", "en")]
+    out = {r.doc_id: r for r in secrets.scan_secrets(frame(spark, data, "doc_id long, text string, source string, lang string")).collect()}
+    assert [(out[k].n_live, out[k].n_example, out[k].max_owners) for k in (0, 5, 8)] == [(0, 1, 6), (1, 0, 2), (1, 1, 6)]
+    assert out[9].spans == "pem:0:31" and out[9].n_live == 1 and out[9].n_assign == 0
+
+
+def licenses_brute(text, threshold=0.8):
+    lines = (text or "").split("\n")
+    found = []
+    for unit in lines + [text] * (len(lines) > 1):
+        own = licenses.bigrams_of(unit)
+        scores = [(2 * len(own & g) / (len(own) + len(g)), -k, name) for k, (name, t) in enumerate(licenses.TEMPLATES) if own and (g := licenses.bigrams_of(t))]
+        found += [max(s for s in scores if s[0] >= threshold)] if any(s[0] >= threshold for s in scores) else []
+    top = max(found, default=None)
+    return (top[2] if top else None, top[0] if top else 0.0, len(found), ",".join(sorted({f[2] for f in found})))
+
+
+def test_licenses(spark):
+    rnd = random.Random(7)
+    data = [(1, None), (2, ""), (None, "\n"), (3, "word " * 40_000)]
+    for k, (_, t) in enumerate(licenses.TEMPLATES * 6):
+        words = t.split()
+        for _ in range(rnd.randrange(0, 5)):
+            words[rnd.randrange(len(words))] = rnd.choice(["the", "License", "x", words[0].upper()])
+        data.append((10 + k, rnd.choice(["", "Intro line.\n", "a b\n\n"]) + " ".join(words) + rnd.choice(["", "\nMore text", "\n" + t])))
+    docs = frame(spark, [(*r, 0.5) for r in data + data[:6]], "doc_id long, text string, dice double")
+    assert rows(licenses.scan_licenses(docs)) == sorted(((i, *licenses_brute(t)) for i, t in data + data[:6]), key=repr)
+    assert licenses.scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_telling_words_are_in_every_match():
+    for _, t in licenses.TEMPLATES:
+        grams = sorted(licenses.bigrams_of(t))
+        hints = licenses.telling_words(grams, 0.8)
+        without = [g for g in grams if not set(g.split()) & set(hints)]
+        assert 2 * len(without) / (len(without) + len(grams)) < 0.8
