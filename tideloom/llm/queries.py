@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, licenses, line_dedup, mixing, ngram_join, secrets, token_counts, toxicity, warc
+from . import decontam, exact_dedup, licenses, line_dedup, mixing, ngram_join, secrets, sql, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_exact_dedup, op4_ngram_join, op5_license_scan, op6_token_counts, op7_decontamination, op8_toxicity, op9_secret_scan, op10_mix_sources)}
 
 ORACLE_SQL = {
+    "op1_line_dedup": sql.line_dedup_sql(),
+    "op4_ngram_join": sql.ngram_join_sql(4, 85),
+    "op5_license_scan": sql.license_sql(),
+    "op9_secret_scan": sql.secret_sql(),
     "op2_warc": """
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
         d AS (SELECT page_id, url, octet_length(encode(h)) AS n, sha256(h) AS digest FROM p),
