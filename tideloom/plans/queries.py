@@ -10,6 +10,8 @@ from ..functions import intervals
 from ..operators import relational, window as w
 from ..operators.join import SELECTORS, endpoint_join, pair_join
 from ..sources import edges as source
+from ..storage import new_path, stash
+from ..streaming.stream import GraphStream
 from . import evaluate, library
 from .algebra import Join, NotLoop, PairJoin, Path, Plan, Scan, Union
 from .evaluate import BOUNDARIES, SNAPSHOT, VALID_TIME
@@ -240,5 +242,25 @@ def pair_join_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.coalesce(pair_join(one("click"), one("view"), timed=True, span=DAY), ["src", "trg"])
 
 
+def streamed(name: str, plan: Plan, window: int, epochs: int) -> None:
+    """Register a plan that is fed with the events of a few stretches of time in turn, as micro-batches are."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        edges = stash(graph(spark, sf_dir), "edges")
+        first, last = edges.agg(F.min("ts"), F.max("ts")).first()
+        stream = GraphStream(spark, plan, window, new_path(spark, "state"), new_path(spark, "results"))
+        span = (last - first) // epochs + 1
+        for k in range(epochs):
+            stream.process(edges.where((F.col("ts") >= first + k * span) & (F.col("ts") < first + (k + 1) * span)), k)
+        return stream.results()
+
+    run.__name__ = name
+    query(SqlText(valid_time_sql(window), VALID_TIME).statement(plan))(run)
+
+
+streamed("stream_query1", library.query1("click"), 6 * HOUR, 3)
+streamed("stream_query2_a", library.query2a(*LABELS[:2]), 6 * HOUR, 3)
+streamed("stream_query6_cq", library.query6_cq(*LABELS), 2 * DAY, 3)
+
 SQL["temporal_join_spans"] = SqlText(valid_time_sql(6 * HOUR), VALID_TIME).statement(Join(A, B))
 SQL["pair_join_spans"] = SqlText(valid_time_sql(DAY), VALID_TIME).statement(PairJoin(A, B))
