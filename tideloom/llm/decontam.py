@@ -34,7 +34,7 @@ GRAM, OVERLAP = 5, 0.8
 K1, B, BLOCK = 1.2, 0.75, 16
 #: Characters of items in an index; larger benchmarks are searched in several passes.
 INDEX_CHARS = 16_000_000
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 1_000_000
 #: Bytes of text that aren't letters or digits separate words; those above ASCII count as letters.
 SEPARATORS = bytes(b if chr(b).isalnum() or b >= 128 else 0x20 for b in range(256))
 SENTENCE = re.compile(r"(?<=[.?!])\s+")

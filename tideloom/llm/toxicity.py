@@ -9,7 +9,6 @@ forward-backward runs in log-odds, over all lines of a group of texts at once.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +23,7 @@ FOLDS = 5
 #: most so many bytes; scoring takes every row and whole texts.
 SAMPLE_ROWS, SAMPLE_BYTES = 1000, 16_000
 #: A worker forgets its scores of words beyond this many; texts are scored in groups of so many characters.
-CACHE_WORDS, GROUP_CHARS = 1_000_000, 4_000_000
+CACHE_WORDS, GROUP_CHARS = 500_000, 2_000_000
 #: A character sequence longer than this is no word: only its first and last characters give features.
 WORD_CHARS = 200
 
@@ -129,43 +128,49 @@ def ascend(x: np.ndarray, gradient, rounds: int, rate: float) -> np.ndarray:
     return x
 
 
-def find_markers(docs: list[list[np.ndarray]], toxic: np.ndarray, of: list[set[str]]) -> set[str]:
-    """Features that mark toxic documents, given the lines of each document as word numbers and the words' features.
+def find_markers(docs: list[list[np.ndarray]], toxic: np.ndarray, of: list[np.ndarray], number: int) -> np.ndarray:
+    """Which of ``number`` features mark toxic documents, given the lines of each document as word numbers and the words'
+    feature numbers.
 
     A feature's support is the number of distinct contexts (word, word before, word after) that it has in toxic
     documents, so that copied passages count once.  Markers have support and are in no other document; and further
     those that each cover the most toxic documents not yet covered, with at most one other document in fifty.
     """
-    words = [np.unique(np.concatenate(lines)) if lines else np.empty(0, np.int64) for lines in docs]
-    others = Counter(f for d in np.flatnonzero(~toxic) for f in set().union(*(of[w] for w in words[d].tolist())))
-    contexts: set[tuple[int, int, int]] = set()
-    for d in np.flatnonzero(toxic):
-        for line in docs[d]:
-            w = [-1, *line.tolist(), -1]
-            contexts.update(zip(w[1:-1], w, w[2:], strict=False))
-    support: Counter[str] = Counter()
-    for w, n in Counter(c[0] for c in contexts).items():
-        for f in of[w]:
-            support[f] += n
-    holders: dict[str, list[int]] = {}
-    for d in np.flatnonzero(toxic):
-        for f in set().union(*(of[w] for w in words[d].tolist())):
-            if support[f] >= 3 and others[f] * 50 <= support[f]:
-                holders.setdefault(f, []).append(d)
-    holders = {f: np.array(h) for f, h in holders.items() if len(h) >= 3 and others[f] * 50 <= len(h)}
+    none = np.empty(0, np.int32)
+
+    def held(d: int) -> np.ndarray:
+        words = np.unique(np.concatenate(docs[d])) if docs[d] else none
+        return np.unique(np.concatenate([of[w] for w in words])) if len(words) else none
+
+    others = np.zeros(number, np.int64)
+    for d in np.flatnonzero(~toxic):
+        others[held(d)] += 1
+    lines = [np.r_[-1, line, -1] for d in np.flatnonzero(toxic) for line in docs[d]]
+    contexts = np.concatenate([np.stack([x[1:-1], x[:-2], x[2:]], axis=1) for x in lines]) if lines else np.empty((0, 3), np.int64)
+    word, count = np.unique(np.unique(contexts, axis=0)[:, 0], return_counts=True)
+    support = np.zeros(number, np.int64)
+    for w, n in zip(word.tolist(), count.tolist(), strict=True):
+        support[of[w]] += n
+    likely = (support >= 3) & (others * 50 <= support)
+    found = [(f := held(d))[likely[f]] for d in np.flatnonzero(toxic)]
+    feature = np.concatenate(found) if found else none
+    doc = np.repeat(np.flatnonzero(toxic), [len(f) for f in found])
+    order = np.argsort(feature, kind="stable")
+    kind, first, size = np.unique(feature[order], return_index=True, return_counts=True)
+    doc = doc[order]
+    holders = {f: doc[i : i + n] for f, i, n in zip(kind.tolist(), first.tolist(), size.tolist(), strict=True) if n >= 3 and others[f] * 50 <= n}
+    markers, covered = np.zeros(number, bool), np.zeros(len(docs), bool)
     enough = max(5, 0.02 * toxic.sum())
-    markers, covered = {f for f in holders if support[f] >= enough and not others[f]}, np.zeros(len(docs), bool)
-    for f in markers:
-        covered[holders[f]] = True
-    while holders:
+    for f, h in holders.items():
+        if support[f] >= enough and not others[f]:
+            markers[f] = True
+            covered[h] = True
+    while gain := {f: n for f, h in holders.items() if not markers[f] and (n := int((~covered[h]).sum())) >= 3}:
         # of those that cover as many, the one with the most support
-        gain = {f: n for f, h in holders.items() if (n := int((~covered[h]).sum())) >= 3}
-        if not gain:
-            break
-        best = max(gain, key=lambda f: (gain[f], support[f], f))
-        markers.add(best)
+        best = max(gain, key=lambda f: (gain[f], support[f], -f))
+        markers[best] = True
         covered[holders[best]] = True
-        holders = {f: holders[f] for f in gain if f != best}
+        holders = {f: holders[f] for f in gain}
     return markers
 
 
@@ -173,50 +178,48 @@ def fit(rows: Iterable[tuple[str, int]], rounds: int = 60) -> Field:
     """Fit a field to texts and their labels (0 or 1)."""
     rows = list(rows)
     ids: dict[str, int] = {}
-    lines: list[np.ndarray] = []
-    owner: list[int] = []
-    for d, (text, _) in enumerate(rows):
-        for line in text.split("\n"):
-            words = [ids.setdefault(w.lower(), len(ids)) for w in WORD.findall(line)]
-            if words:
-                lines.append(np.array(words))
-                owner.append(d)
-    base = np.mean([y for _, y in rows]) if rows else 0.0
+    docs: list[list[np.ndarray]] = []
+    for text, _ in rows:
+        found = [[ids.setdefault(w.lower(), len(ids)) for w in WORD.findall(line)] for line in text.split("\n")]
+        docs.append([np.array(x, np.int32) for x in found if x])
+    labels = np.array([y for _, y in rows], bool)
+    base = labels.mean() if len(rows) else 0.0
     rest = Field({}, -8.0, np.zeros((2, 2)), -8.0, np.array([np.log(max(base, 1e-3) / max(1 - base, 1e-3)), 0.0, 0.0]))
-    if not lines or base in (0.0, 1.0):
+    if not ids or base in (0.0, 1.0):
         return rest
-    of = [features(w) for w in ids]
-    held: list[list[np.ndarray]] = [[] for _ in rows]
-    for d, line in zip(owner, lines, strict=True):
-        held[d].append(line)
-    markers = find_markers(held, np.array([y for _, y in rows], bool), of)
-    marked = np.array([not markers.isdisjoint(f) for f in of])
+    numbers: dict[str, int] = {}
+    # feature numbers and not strings for each word: the strings are held once
+    of = [np.array([numbers.setdefault(f, len(numbers)) for f in sorted(features(w))], np.int32) for w in ids]
+    markers = find_markers(docs, labels, of, len(numbers))
+    marked = np.array([bool(markers[f].any()) for f in of])
 
     # sequences: all with a marked word in a toxic document, and as many others of either class again
-    toxic = np.array([rows[d][1] for d in owner], bool)
-    hit = np.array([bool(t and marked[line].any()) for t, line in zip(toxic, lines, strict=True)])
-    plain = np.flatnonzero(~hit)
-    step = max(1, len(plain) // max(2000, 2 * int(hit.sum())))
-    chosen = np.r_[np.flatnonzero(hit), plain[::step]]
+    lines = [(line, y) for d, y in zip(docs, labels.tolist(), strict=True) for line in d]
+    hit = np.array([y and bool(marked[line].any()) for line, y in lines])
     if not hit.any():
         return rest
-    flat = np.concatenate([lines[i] for i in chosen])
-    truth = np.concatenate([marked[lines[i]] & toxic[i] for i in chosen]).astype(float)
-    ends = np.cumsum([len(lines[i]) for i in chosen])
+    plain = np.flatnonzero(~hit)
+    chosen = np.r_[np.flatnonzero(hit), plain[:: max(1, len(plain) // max(2000, 2 * int(hit.sum())))]]
+    flat = np.concatenate([lines[i][0] for i in chosen])
+    truth = np.concatenate([marked[lines[i][0]] & lines[i][1] for i in chosen]).astype(float)
+    ends = np.cumsum([len(lines[i][0]) for i in chosen])
     starts = np.r_[0, ends[:-1]]
 
-    used = np.unique(flat)
-    count = Counter(f for w in used for f in of[w])
-    column = {f: k for k, f in enumerate(sorted(f for f, n in count.items() if n >= 2 or f in markers))}
-    pairs = np.array([(w, column[f]) for w in used for f in of[w] if f in column], dtype=np.int64).reshape(-1, 2)
-    n, words = len(column), len(ids)
+    used, words = np.unique(flat), len(ids)
+    feature = np.concatenate([of[w] for w in used])
+    word = np.repeat(used, [len(of[w]) for w in used])
+    wanted = (np.bincount(feature, minlength=len(numbers)) >= 2) | markers
+    column = np.cumsum(wanted) - 1
+    n = int(wanted.sum())
+    word, feature = word[wanted[feature]], column[feature[wanted[feature]]]
+    names = [f for f, k in numbers.items() if wanted[k]]
     inner = np.ones(len(flat), bool)
     inner[starts] = False
     before, after = np.flatnonzero(inner) - 1, np.flatnonzero(inner)
     steps = np.array([[np.sum((truth[before] == a) & (truth[after] == b)) for b in (0, 1)] for a in (0, 1)], dtype=float)
 
     def unpack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        emission = x[n] + np.bincount(pairs[:, 0], x[pairs[:, 1]], minlength=words)
+        emission = x[n] + np.bincount(word, x[feature], minlength=words)
         return emission, np.array([[0.0, x[n + 1]], [0.0, x[n + 2]]]), x[n + 3]
 
     def gradient(x: np.ndarray) -> np.ndarray:
@@ -230,14 +233,14 @@ def fit(rows: Iterable[tuple[str, int]], rounds: int = 60) -> Field:
         p1, r = sigmoid(odds[before]), (e + back)[after]
         to_one = [sigmoid(trans[a, 1] - trans[a, 0] + r) for a in (0, 1)]
         both = [np.sum((1 - p1) * to_one[0]), np.sum(p1 * to_one[1])]
-        g = np.r_[np.bincount(pairs[:, 1], by_word[pairs[:, 0]], minlength=n), off.sum(), steps[0, 1] - both[0], steps[1, 1] - both[1], off[starts].sum()]
+        g = np.r_[np.bincount(feature, by_word[word], minlength=n), off.sum(), steps[0, 1] - both[0], steps[1, 1] - both[1], off[starts].sum()]
         return g / len(chosen) - 1e-4 * x
 
     x = ascend(np.r_[np.zeros(n), -2.0, 0.0, 0.0, 0.0], gradient, rounds, 0.2)
     _, trans, first = unpack(x)
-    model = Field({f: float(x[k]) for f, k in column.items() if abs(x[k]) > 1e-3}, float(x[n]), trans, float(first), rest.score)
-    seen = summary(model.tags([t for t, _ in rows]))
-    y = np.array([y for _, y in rows], float)
+    model = Field({f: float(x[k]) for k, f in enumerate(names) if abs(x[k]) > 1e-3}, float(x[n]), trans, float(first), rest.score)
+    seen = np.concatenate([summary(model.tags(g)) for g in groups([t for t, _ in rows])])
+    y = labels.astype(float)
     model.score = ascend(rest.score, lambda s: seen.T @ (y - sigmoid(seen @ s)) / len(y) - 1e-3 * np.r_[0, s[1:]], 400, 0.1)
     model.known.clear()
     return model
