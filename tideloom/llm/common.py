@@ -2,43 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from ..storage import new_path, remove
 
 #: ``broadcast()`` is used only for narrow rows and only up to this many of them.
 BROADCAST_ROWS = 200_000
 
-_local: list[str] = []
 _scope: ContextVar[list[str] | None] = ContextVar("stashed", default=None)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a new local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="tideloom-"))
-        atexit.register(shutil.rmtree, _local[0], True)
-    return "file://" + _local[0]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the application's JVM ends."""
-    path = f"{shared_dir(spark)}/tideloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that later plans neither repeat its work nor
     depend on the executors that did it."""
@@ -50,11 +27,6 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def unstash(df: DataFrame) -> None:
     """Remove the files of a stashed table that no later plan reads."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
@@ -72,8 +44,7 @@ def stashing() -> Iterator[list[str]]:
         _scope.reset(token)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if a count shows that it has at most ``rows`` rows, else ``df`` itself, for a
-    shuffled join that adaptive execution may split where a key is hot."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if a count shows that it has at most ``rows`` rows (``BROADCAST_ROWS`` by default),
+    else ``df`` itself, for a shuffled join that adaptive execution may split where a key is hot."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
