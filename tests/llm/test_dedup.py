@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tideloom.llm import exact_dedup, line_dedup, ngram_join
+from tideloom.llm import common, exact_dedup, line_dedup, ngram_join
 
 BLANKS = " \t\r\x0b\x0c"
 
@@ -172,3 +172,14 @@ def test_keep_one(spark):
     assert {i for i in got if i is not None} == heads
     empty = sum(not (t or "").strip() for _, t in data)
     assert kept.where("text is null or trim(text) = ''").count() == empty
+
+
+def test_without_broadcasts(spark, monkeypatch):
+    """Tables beyond the bound are joined by a shuffle, with the same results."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    docs = frame(spark, EXACT)
+    assert rows(exact_dedup.exact_dedup(docs)) == exact_brute(EXACT)
+    data = similar(8, 80)
+    assert rows(ngram_join.ngram_join(frame(spark, data))) == join_brute(data, 4, 85)
+    lines = [(i, f"a first line of words\nline {i // 2} is long enough to count{'!' * (i % 2)}\nx") for i in range(30)]
+    assert rows(line_dedup.dedup_lines(frame(spark, lines))) == lines_brute(lines)[0]

@@ -35,7 +35,7 @@ CACHE_WORDS = 1_000_000
 #: into the table of frequent ones, of which at most so many, the most frequent, are kept.  The table only orders.
 COUNT_CHARS, COUNT_LEAST, FREQUENT_ROWS = 16_000_000, 8, 1_000_000
 #: Blocks of a group have about so many sets and shingles.
-BLOCK_SETS, BLOCK_SHINGLES = 512, 1_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 256, 500_000
 NODE = "struct<hi:bigint,lo:bigint>"
 
 
@@ -424,7 +424,8 @@ def similarity_components(docs: DataFrame, width: int = 4, percent: int = 85, id
     sets = full.groupBy("node").agg(F.min(first).alias("winner"), F.count(F.lit(1)).alias("n"), F.min("_text_hash").alias("hash"))
     sets = stash(sets, "sets")
     wanted = members.select("node").distinct()
-    bits = full.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("bits").alias("data"))
+    # written, so that the joins below have exchanges of their own, which can be split where a set is in many groups
+    bits = stash(full.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("bits").alias("data")), "bits")
     near = stash(hopeful(blocked(members, bits), percent).distinct(), "near")
 
     hashes = small(stash(near.select("node").distinct().join(sets, "node").select(F.col("hash").alias("_text_hash")), "hashes"))
@@ -445,7 +446,7 @@ def similarity_components(docs: DataFrame, width: int = 4, percent: int = 85, id
                 yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(data, pa.binary())], names=["hi", "lo", "data"])
 
     data = _scan(texts, width, "hi long, lo long, data binary", whole).select(F.struct("hi", "lo").alias("node"), "data")
-    data = data.groupBy("node").agg(F.min("data").alias("data"))
+    data = stash(data.groupBy("node").agg(F.min("data").alias("data")), "shingles")
     edges = links(blocked(near, data), percent)
     roots = components(edges)
 
