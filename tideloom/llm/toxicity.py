@@ -1,7 +1,7 @@
 """Toxicity: a linear-chain conditional random field tags toxic tokens; its marginals give scores and offsets.
 
 Labels are of documents only, so tokens are labelled first: a token of a toxic document is toxic if it holds a marker,
-a string feature that occurs in many toxic documents of the training rows and (almost) never in others.  The field has
+a string feature that is many times as frequent in the toxic documents of the training rows as in others.  The field has
 two states.  Its emission weights belong to features of the word (the word itself, its character 4- and 5-grams), and
 forward-backward runs in log-odds, over all lines of a group of texts at once.
 """
@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 WORD = re.compile(r"\w+")
 TOKEN = re.compile(r"\w+|\n")
 FOLDS = 5
+#: A marker is so many times as frequent in toxic documents as in others.
+RATIO = 20
 #: Training takes at most so many labelled rows of each class (those of the smallest MD5 of the id), of texts of at
 #: most so many bytes; scoring takes every row and whole texts.
 SAMPLE_ROWS, SAMPLE_BYTES = 1000, 16_000
@@ -112,10 +114,12 @@ class Field:
 
 
 def summary(odds: list[np.ndarray]) -> np.ndarray:
+    """Of each document: one, the largest marginal, and the expected number of toxic words, in all and per thousand."""
     p = [sigmoid(o) for o in odds]
     top = np.array([x.max() if len(x) else 0.0 for x in p])
-    many = np.array([np.log1p(x[x >= 0.5].sum()) for x in p])
-    return np.stack([np.ones(len(p)), top, many], axis=1)
+    many = np.array([x[x >= 0.5].sum() for x in p])
+    size = np.array([max(len(x), 1) for x in p])
+    return np.stack([np.ones(len(p)), top, np.log1p(many), np.log1p(1000 * many / size)], axis=1)
 
 
 def ascend(x: np.ndarray, gradient, rounds: int, rate: float) -> np.ndarray:
@@ -132,9 +136,10 @@ def find_markers(docs: list[list[np.ndarray]], toxic: np.ndarray, of: list[np.nd
     """Which of ``number`` features mark toxic documents, given the lines of each document as word numbers and the words'
     feature numbers.
 
-    A feature's support is the number of distinct contexts (word, word before, word after) that it has in toxic
-    documents, so that copied passages count once.  Markers have support and are in no other document; and further
-    those that each cover the most toxic documents not yet covered, with at most one other document in fifty.
+    A feature's support is the number of distinct contexts (word, word before, word after) that it has, so that copied
+    passages count once.  Markers have support and are in no other document; and further those that each cover the most
+    toxic documents not yet covered, if they are ``RATIO`` times as frequent there as elsewhere, or in at most one other
+    document to fifty.
     """
     none = np.empty(0, np.int32)
 
@@ -145,26 +150,31 @@ def find_markers(docs: list[list[np.ndarray]], toxic: np.ndarray, of: list[np.nd
     others = np.zeros(number, np.int64)
     for d in np.flatnonzero(~toxic):
         others[held(d)] += 1
-    lines = [np.r_[-1, line, -1] for d in np.flatnonzero(toxic) for line in docs[d]]
-    contexts = np.concatenate([np.stack([x[1:-1], x[:-2], x[2:]], axis=1) for x in lines]) if lines else np.empty((0, 3), np.int64)
-    word, count = np.unique(np.unique(contexts, axis=0)[:, 0], return_counts=True)
-    support = np.zeros(number, np.int64)
-    for w, n in zip(word.tolist(), count.tolist(), strict=True):
-        support[of[w]] += n
-    likely = (support >= 3) & (others * 50 <= support)
+
+    def supported(wanted: np.ndarray) -> tuple[np.ndarray, int]:
+        lines = [np.r_[-1, line, -1] for d in np.flatnonzero(wanted) for line in docs[d]]
+        if not lines:
+            return np.zeros(number, np.int64), 0
+        contexts = np.unique(np.concatenate([np.stack([x[1:-1], x[:-2], x[2:]], axis=1) for x in lines]), axis=0)
+        support = np.zeros(number, np.int64)
+        for w, n in zip(*(x.tolist() for x in np.unique(contexts[:, 0], return_counts=True)), strict=True):
+            support[of[w]] += n
+        return support, len(contexts)
+
+    (support, total), (elsewhere, rest) = supported(toxic), supported(~toxic)
+    enough = max(5, 0.02 * toxic.sum())
+    frequent = (support >= enough) & (support * rest >= RATIO * (elsewhere + 0.5) * total)
+    likely = frequent | (support >= 3) & (others * 50 <= support)
     found = [(f := held(d))[likely[f]] for d in np.flatnonzero(toxic)]
     feature = np.concatenate(found) if found else none
     doc = np.repeat(np.flatnonzero(toxic), [len(f) for f in found])
     order = np.argsort(feature, kind="stable")
     kind, first, size = np.unique(feature[order], return_index=True, return_counts=True)
     doc = doc[order]
-    holders = {f: doc[i : i + n] for f, i, n in zip(kind.tolist(), first.tolist(), size.tolist(), strict=True) if n >= 3 and others[f] * 50 <= n}
-    markers, covered = np.zeros(number, bool), np.zeros(len(docs), bool)
-    enough = max(5, 0.02 * toxic.sum())
-    for f, h in holders.items():
-        if support[f] >= enough and not others[f]:
-            markers[f] = True
-            covered[h] = True
+    holders = {f: doc[i : i + n] for f, i, n in zip(kind.tolist(), first.tolist(), size.tolist(), strict=True) if n >= 3 and (frequent[f] or others[f] * 50 <= n)}
+    markers, covered = (support >= enough) & (others == 0), np.zeros(len(docs), bool)
+    for d in np.flatnonzero(toxic):
+        covered[d] = markers[held(d)].any()
     while gain := {f: n for f, h in holders.items() if not markers[f] and (n := int((~covered[h]).sum())) >= 3}:
         # of those that cover as many, the one with the most support
         best = max(gain, key=lambda f: (gain[f], support[f], -f))
@@ -184,7 +194,7 @@ def fit(rows: Iterable[tuple[str, int]], rounds: int = 60) -> Field:
         docs.append([np.array(x, np.int32) for x in found if x])
     labels = np.array([y for _, y in rows], bool)
     base = labels.mean() if len(rows) else 0.0
-    rest = Field({}, -8.0, np.zeros((2, 2)), -8.0, np.array([np.log(max(base, 1e-3) / max(1 - base, 1e-3)), 0.0, 0.0]))
+    rest = Field({}, -8.0, np.zeros((2, 2)), -8.0, np.array([np.log(max(base, 1e-3) / max(1 - base, 1e-3)), 0.0, 0.0, 0.0]))
     if not ids or base in (0.0, 1.0):
         return rest
     numbers: dict[str, int] = {}
@@ -193,9 +203,9 @@ def fit(rows: Iterable[tuple[str, int]], rounds: int = 60) -> Field:
     markers = find_markers(docs, labels, of, len(numbers))
     marked = np.array([bool(markers[f].any()) for f in of])
 
-    # sequences: all with a marked word in a toxic document, and as many others of either class again
+    # sequences: all with a marked word, in documents of either class, and as many others again
     lines = [(line, y) for d, y in zip(docs, labels.tolist(), strict=True) for line in d]
-    hit = np.array([y and bool(marked[line].any()) for line, y in lines])
+    hit = np.array([bool(marked[line].any()) for line, _ in lines])
     if not hit.any():
         return rest
     plain = np.flatnonzero(~hit)
