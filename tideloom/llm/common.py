@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -13,6 +14,9 @@ from ..storage import new_path, remove
 #: ``broadcast()`` is used only for narrow rows and only up to this many of them.
 BROADCAST_ROWS = 200_000
 
+#: Arrow batches that Python workers get have about so many bytes at most.
+BATCH_BYTES = 8 << 20
+
 _scope: ContextVar[list[str] | None] = ContextVar("stashed", default=None)
 
 
@@ -48,3 +52,12 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` marked for broadcast if a count shows that it has at most ``rows`` rows (``BROADCAST_ROWS`` by default),
     else ``df`` itself, for a shuffled join that adaptive execution may split where a key is hot."""
     return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's bound on the bytes of Arrow batches lowered to ``BATCH_BYTES`` if it is higher: rows
+    with long texts would else fill a worker's memory."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if int(re.sub(r"\D", "", conf.get(key))) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df

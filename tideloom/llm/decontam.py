@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import bounded_batches
+
 #: Words of a passage, and how far the next one begins; every word of a text is in a passage.
 PASSAGE, STRIDE = 64, 32
 #: The part of a chunk's own score that retrieves it.
@@ -258,7 +260,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, "contaminated", "n_items", "items", "question", "answer"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, contaminated boolean, n_items long, items string, question double, answer double")
+    return bounded_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, contaminated boolean, n_items long, items string, question double, answer double")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", retrieve: float = RETRIEVE, overlap: float = OVERLAP) -> DataFrame:
@@ -276,4 +278,4 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 keep += clean
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

@@ -26,14 +26,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small, stash, unstash
+from .common import bounded_batches, small, stash, unstash
 
 #: Odd multipliers of the words of a shingle: rules make them, from the golden ratio on.
 MULTIPLIERS = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1) ** 5) % 2**64 | 1) for k in range(16)]
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 #: Shingles are counted in groups of texts of so many characters; one that occurs in so many sets of a group is put
 #: into the table of frequent ones, of which at most so many, the most frequent, are kept.  The table only orders.
-COUNT_CHARS, COUNT_LEAST, FREQUENT_ROWS = 16_000_000, 8, 1_000_000
+COUNT_CHARS, COUNT_LEAST, FREQUENT_ROWS = 8_000_000, 6, 1_000_000
 #: Blocks of a group have about so many sets and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 500_000
 NODE = "struct<hi:bigint,lo:bigint>"
@@ -115,7 +115,7 @@ def _scan(docs: DataFrame, width: int, schema: str, make: Callable[[Iterator[tup
 
         yield from make(groups())
 
-    return docs.mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(run, schema)
 
 
 def profile(docs: DataFrame, width: int) -> DataFrame:
@@ -421,11 +421,11 @@ def similarity_components(docs: DataFrame, width: int = 4, percent: int = 85, id
     members = stash(grouped(lists, percent).distinct(), "members")
 
     first = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_text_hash").alias("hash"))
-    sets = full.groupBy("node").agg(F.min(first).alias("winner"), F.count(F.lit(1)).alias("n"), F.min("_text_hash").alias("hash"))
-    sets = stash(sets, "sets")
+    sets = full.groupBy("node").agg(F.min(first).alias("winner"), F.count(F.lit(1)).alias("n"), F.min("_text_hash").alias("hash"), F.min("bits").alias("data"))
+    sets = stash(sets, "sets")  # copies are folded before the exchange
     wanted = members.select("node").distinct()
     # written, so that the joins below have exchanges of their own, which can be split where a set is in many groups
-    bits = stash(full.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("bits").alias("data")), "bits")
+    bits = stash(sets.join(wanted, "node", "left_semi").select("node", "data"), "bits")
     near = stash(hopeful(blocked(members, bits), percent).distinct(), "near")
 
     hashes = small(stash(near.select("node").distinct().join(sets, "node").select(F.col("hash").alias("_text_hash")), "hashes"))

@@ -19,12 +19,14 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
+from .common import bounded_batches
+
 #: Letters and digits that were added to Unicode so late that the two regular-expression libraries may class them
 #: differently.  Texts with one of them are cut by the vocabulary's own library.
 LATE = regex.compile(r"[[\U00010000-\U0010FFFF]&&[\p{L}\p{N}\p{Cn}]]|[\u0870-\u08ff\u1c80-\u1c8f\ua7c0-\ua7ff]", regex.V1)
 
 #: A worker forgets its counts of pre-tokens beyond this many.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -115,7 +117,7 @@ class WordBpe:
         for k, text in enumerate(texts):
             held.append(self.pieces(text))
             size += len(text)
-            if size >= 4_000_000 or k == len(texts) - 1:
+            if size >= 2_000_000 or k == len(texts) - 1:
                 known = self.known
                 if len(known) > CACHE_WORDS:
                     known.clear()
@@ -152,4 +154,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int, id_col: str = "do
                 names=[id_col, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return bounded_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import bounded_batches
+
 WORD = re.compile(r"\w+")
 TOKEN = re.compile(r"\w+|\n")
 FOLDS = 5
@@ -25,7 +27,7 @@ RATIO = 20
 #: most so many bytes; scoring takes every row and whole texts.
 SAMPLE_ROWS, SAMPLE_BYTES = 1000, 16_000
 #: A worker forgets its scores of words beyond this many; texts are scored in groups of so many characters.
-CACHE_WORDS, GROUP_CHARS = 500_000, 2_000_000
+CACHE_WORDS, GROUP_CHARS = 200_000, 1_000_000
 #: A character sequence longer than this is no word: only its first and last characters give features.
 WORD_CHARS = 200
 
@@ -315,7 +317,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 names=[id_col, "score", "predicted", "n_spans", "spans"],
             )
 
-    scored = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int, n_spans long, spans string")
+    scored = bounded_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int, n_spans long, spans string")
     return scored.select(id_col, F.coalesce(remainder(F.col(id_col)) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "n_spans", "spans")
 
 
@@ -332,4 +334,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             scores = np.concatenate([tagger.scores(tagger.tags(g)) for g in groups([t or "" for t in texts])] or [np.empty(0)])
             yield batch.filter(pa.array([not t or s < 0.5 for t, s in zip(texts, scores.tolist(), strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

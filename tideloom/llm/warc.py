@@ -16,7 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import new_path, small, stash
+from .common import bounded_batches, new_path, small, stash
 
 #: Fixed values of the formats: magic numbers of frames (little endian), and of the dictionary's skippable frame.
 FRAME, SKIPPABLE, DICTIONARY = 0xFD2FB528, 0x184D2A50, 0x184D2A5D
@@ -188,7 +188,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: st
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["archive"])
 
     columns = rows.select(F.col("_id").cast("string").alias("_id"), "_uri", "_payload", "_digest", F.col("_refers").cast("string").alias("_refers"))
-    archives = columns.mapInArrow(pack, "archive binary").select(F.col("archive").cast("string"))
+    archives = bounded_batches(columns).mapInArrow(pack, "archive binary").select(F.col("archive").cast("string"))
     archives.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
@@ -220,7 +220,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(read, schema)
+    return bounded_batches(files).mapInArrow(read, schema)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", **columns: str) -> DataFrame:
