@@ -6,7 +6,7 @@ import pytest
 
 from tideloom.operators.join import SELECTORS, endpoint_join, pair_join
 from tideloom.operators.path import TooManyRounds, path_query
-from tideloom.operators import relational, window as w
+from tideloom.operators import path, relational, window as w
 from tideloom.plans import evaluate, library
 from tideloom.plans.algebra import Path
 from tideloom.sources.edges import hashed_ids, label_filter, read_edges, start_timestamp
@@ -209,3 +209,34 @@ def test_bad_names():
     for name, labels in (("query9", ["a"]), ("query1", []), ("query1", ["__a"]), ("query2", ["a", "b|c d"])):
         with pytest.raises(ValueError):
             library.named(name, labels)
+
+
+@pytest.mark.parametrize("timed", [False, True])
+def test_rows_in_buckets(spark, monkeypatch, timed):
+    """Large results are kept in buckets, with the same answer, and what was found isn't shuffled again."""
+    raw = random_edges(21, edges=60)
+    edges = w.wscan(spark.createDataFrame(raw, EDGES), 15)
+    edges = edges if timed else edges.drop("vs", "ve")
+    expected = rows(path_query(edges, "(a|b)+/c*", timed=timed))
+    monkeypatch.setattr(path, "LARGE_ROWS", 10)
+    monkeypatch.setattr(path, "MANY_TABLES", 2)
+    assert rows(path_query(edges, "(a|b)+/c*", timed=timed)) == expected
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tideloom")]
+
+
+def test_buckets_spare_the_exchange(spark, monkeypatch):
+    monkeypatch.setattr(path, "LARGE_ROWS", 0)
+    held = spark.range(100).selectExpr("id AS root", "id % 7 AS v", "cast(id % 2 AS int) AS st")
+    found = path.Found(held, ["root", "v", "st"], False)
+    found.add(held)
+    found.add(held.selectExpr("root + 100 AS root", "v", "st"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new = found.unseen(spark.range(300).selectExpr("id AS root", "id % 7 AS v", "cast(id % 2 AS int) AS st").distinct())
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.count("Bucketed: true") == 2
+        assert new.count() == 300 - 200 + sum(k % 7 != (k - 100) % 7 for k in range(100, 200))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        found.close()

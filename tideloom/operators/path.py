@@ -7,17 +7,93 @@ are written to the shared folder, so plans stay short and lost executors cost a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions.automata import Dfa, compile_path
 from ..functions.intervals import coalesce
 from ..storage import new_path, remove, table, written
 
+#: From so many rows on, what was found is kept in buckets.
+LARGE_ROWS = 20_000_000
+#: So many tables of buckets are joined one after the other before they are written as one.
+MANY_TABLES = 8
+
 
 class TooManyRounds(RuntimeError):
     """The fixpoint was not reached within the given number of rounds."""
 
 
+class Found:
+    """The rows of all rounds, as written tables.
+
+    While they are few, they are read together.  From ``LARGE_ROWS`` on they are bucketed by their keys, into as many
+    buckets as exchanges have partitions: new rows, which are dealt out by the same keys, then meet them without
+    another exchange, and only new rows are shuffled in a round.
+    """
+
+    def __init__(self, like: DataFrame, keys: list[str], timed: bool):
+        self.spark, self.like, self.keys, self.timed = like.sparkSession, like, keys, timed
+        self.paths: list[str] = []
+        self.buckets: list[tuple[str, str]] = []
+        self.rows = 0
+
+    def bucketed(self, rows: DataFrame) -> tuple[str, str, int]:
+        name, path, seen = f"tideloom_{uuid.uuid4().hex}", new_path(self.spark, "reach"), Observation()
+        number = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        out = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
+        out.write.format("parquet").bucketBy(number, *self.keys).option("path", path).saveAsTable(name)
+        return name, path, seen.get["rows"]
+
+    def add(self, rows: DataFrame) -> DataFrame | None:
+        """Write the rows of a round, and return them as read back; None if there are none."""
+        if self.rows < LARGE_ROWS:
+            path = new_path(self.spark, "reach")
+            count = written(rows, path)
+            self.paths.append(path)
+        else:
+            name, path, count = self.bucketed(rows)
+            old, paths = self.buckets, self.paths
+            if paths or len(old) >= MANY_TABLES:  # no plan reads them any more
+                merged, at, _ = self.bucketed(self.all())
+                self.buckets, self.paths = [(merged, at)], []
+                self.drop(old)
+                for p in paths:
+                    remove(self.spark, p)
+            self.buckets.append((name, path))
+        self.rows += count
+        return table(self.spark, self.like, path) if count else None
+
+    def unseen(self, rows: DataFrame) -> DataFrame:
+        """The rows that no earlier one covers: an equal one, or one with an interval around theirs."""
+        known = [table(self.spark, self.like, *self.paths)] if self.paths else []
+        known += [self.spark.table(name) for name, _ in self.buckets]
+        for held in known:
+            n, s = rows.alias("n"), held.alias("s")
+            on = F.lit(True)
+            for c in self.keys:
+                on = on & (F.col(f"n.{c}") == F.col(f"s.{c}"))
+            if self.timed:
+                on = on & (F.col("s.vs") <= F.col("n.vs")) & (F.col("s.ve") >= F.col("n.ve"))
+            rows = n.join(s, on, "left_anti")
+        return rows
+
+    def all(self) -> DataFrame:
+        return table(self.spark, self.like, *self.paths, *[p for _, p in self.buckets])
+
+    def drop(self, buckets: list[tuple[str, str]], files: bool = True) -> None:
+        for name, path in buckets:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")  # the files are the table's own only in name
+            if files:
+                remove(self.spark, path)
+
+    def close(self) -> DataFrame:
+        """All rows; the tables' names go, their files stay."""
+        self.drop(self.buckets, files=False)
+        return self.all()
+
+
 def product_edges(edges: DataFrame, dfa: Dfa) -> DataFrame:
     """Edges of the product graph: ``edges`` with ``st`` and ``st2``, for each move that the label allows.  The moves
     are few and are broadcast; only labels of the automaton are read."""
@@ -44,43 +120,32 @@ def path_query(edges: DataFrame, expression: str | Dfa, by: tuple[str, ...] = ()
     base = new_path(spark, "steps")
     written(steps, base)
     steps = table(spark, steps, base)
+    near = steps.withColumnsRenamed({c: f"_{c}" for c in steps.columns})
 
     def settled(rows: DataFrame) -> DataFrame:
         rows = rows.select(*by, "root", "v", "st", *interval)
         return coalesce(rows, keys) if timed else rows.distinct()
 
-    new = settled(steps.where("st = 0").withColumnsRenamed({"src": "root"}).drop("st").withColumnsRenamed({"v2": "v", "st2": "st"}))
-    paths: list[str] = []
+    first = settled(steps.where("st = 0").withColumnsRenamed({"src": "root"}).drop("st").withColumnsRenamed({"v2": "v", "st2": "st"}))
+    found = Found(first, keys, timed)
     # walks that end in a state without moves can't be extended
-    onward = {s for s, _, _ in dfa.rows()}
-    while True:
-        path = new_path(spark, "reach")
-        if not written(new, path):
-            remove(spark, path)
-            break
-        paths.append(path)
-        if len(paths) > max_rounds:
+    onward = sorted({s for s, _, _ in dfa.rows()})
+    on = (F.col("v") == F.col("_src")) & (F.col("st") == F.col("_st"))
+    for c in by:
+        on = on & (F.col(c) == F.col(f"_{c}"))
+    ends = [*by, "root", F.col("_v2").alias("v"), F.col("_st2").alias("st")]
+    last, rounds = found.add(first), 1
+    while last is not None:
+        if (rounds := rounds + 1) > max_rounds:
             raise TooManyRounds(f"{expression!r}: no fixpoint in {max_rounds} rounds")
-        last = table(spark, new, path).where(F.col("st").isin(sorted(onward)))
-        seen = table(spark, new, *paths)
-        near = steps.withColumnsRenamed({c: f"_{c}" for c in steps.columns})
-        on = (F.col("v") == F.col("_src")) & (F.col("st") == F.col("_st"))
-        for c in by:
-            on = on & (F.col(c) == F.col(f"_{c}"))
+        last = last.where(F.col("st").isin(onward))
         if timed:
             vs, ve = F.greatest("vs", "_vs"), F.least("ve", "_ve")
-            found = last.join(near, on & (vs < ve)).select(*by, "root", F.col("_v2").alias("v"), F.col("_st2").alias("st"), vs.alias("vs"), ve.alias("ve"))
+            more = last.join(near, on & (vs < ve)).select(*ends, vs.alias("vs"), ve.alias("ve"))
         else:
-            found = last.join(near, on).select(*by, "root", F.col("_v2").alias("v"), F.col("_st2").alias("st"))
-        found, held = settled(found).alias("n"), seen.alias("s")
-        known = F.lit(True)
-        for c in keys:
-            known = known & (F.col(f"n.{c}") == F.col(f"s.{c}"))
-        if timed:
-            known = known & (F.col("s.vs") <= F.col("n.vs")) & (F.col("s.ve") >= F.col("n.ve"))
-        new = found.join(held, known, "left_anti")
-    out = table(spark, new, *paths) if paths else new
-    out = out.where(F.col("st").isin(sorted(dfa.final))).withColumnsRenamed({"root": "src", "v": "trg"}).drop("st")
+            more = last.join(near, on).select(*ends)
+        last = found.add(found.unseen(settled(more)))
+    out = found.close().where(F.col("st").isin(sorted(dfa.final))).withColumnsRenamed({"root": "src", "v": "trg"}).drop("st")
     if timed:
         return coalesce(out, [*by, "src", "trg"])
     return out.distinct() if len(dfa.final) > 1 else out
