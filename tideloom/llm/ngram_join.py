@@ -226,7 +226,8 @@ def blocked(members: DataFrame, payload: DataFrame) -> DataFrame:
     ``head, first, second, block, node, size, data``, sorted by the first three within partitions."""
     sizes = members.groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).where("n > 1")
     parts = F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("s") / BLOCK_SHINGLES)).cast("int")
-    rows = members.join(sizes.select("head", parts.alias("parts")), "head").join(payload, "node")
+    sizes = small(stash(sizes.select("head", parts.alias("parts")), "sizes"))
+    rows = members.join(sizes, "head").join(payload, "node")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("head", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "node", "size", "data")
