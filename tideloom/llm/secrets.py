@@ -17,6 +17,14 @@ KINDS = [
     ("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 20),
 ]
 BASE = ("assign", "access", "hex")
+#: What follows the line that the pem kind matches: up to the END line, or else header fields and lines of base64.  Line
+#: breaks may be escaped.  All repeats are possessive, so that long bodies neither backtrack nor nest calls.
+BREAK = r"(?:\s|\\[nrt])*+"
+PEM_BODY = (
+    r"((?:[^-]|-(?!----))*+(?=-----END [A-Z ]{0,30}PRIVATE KEY-----)"
+    rf"|(?:{BREAK}[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+)*+(?:{BREAK}[A-Za-z0-9+/]{{16,}}+=*+)++(?:[ \t]*+(?:\r?\n|\\n)[ \t]*+[A-Za-z0-9+/]++=*+(?![^\r\n]))?+)?+"
+    r"(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?+"
+)
 #: A text without any of these has no candidate.
 TRACE = r"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|gh[opsur]_|xox[abprs]-|eyJ|-----BEGIN "
 
@@ -27,9 +35,17 @@ def spans_of(text: Column, rank: int, kind: str, pattern: str, group: int, least
     """Spans of a pattern's leftmost non-overlapping matches, as code point offsets.
 
     ``split`` cuts the text at the same matches that ``regexp_extract_all`` returns, so lengths add up to offsets.
+    The value of a private key is its body in base64 alone, however it is wrapped, escaped or quoted; without a body it
+    is the line that begins it.
     """
+    if kind == "pem":
+        header, pattern, group = pattern, pattern + PEM_BODY, 1
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    if kind == "pem":
+        body = lambda v: F.regexp_replace(F.regexp_replace(v, r"\\[nrt]", ""), "[^A-Za-z0-9+/=]", "")
+        value = F.zip_with(value, whole, lambda v, w: F.when(body(v) != "", body(v)).otherwise(F.regexp_extract(w, header, 0)))
+        least = 1
     gaps = F.split(text, pattern, -1)
     parts = F.transform(
         F.arrays_zip(whole.alias("whole"), value.alias("value"), F.transform(gaps, F.char_length).alias("gap")),
