@@ -125,6 +125,52 @@ def test_decontamination(spark):
     assert decontam.find_leaks(docs.limit(0), benchmark).count() == 0
 
 
+def test_edited_leaks(spark):
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice(["an", "the", "or", "st", "qu", "in", "es", "at"]) for _ in range(rnd.randrange(2, 5)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, f"{prose(rnd.choice([10, 16, 30]))}. {prose(rnd.choice([1, 3, 5, 12]))}.") for i in range(40)]
+    data, expected = [], []
+    for i, item in items:
+        for edits in (1, 2):
+            leak = item.split()
+            for k in rnd.sample(range(len(leak)), edits if len(leak) >= 15 else 1):
+                leak[k] = f"changed{k}"
+            data.append((len(data), f"{prose(50)} {' '.join(leak)} {prose(60)}"))
+            expected.append(str(i))
+    # the question without a short last sentence; and the words of an item out of order, or far apart
+    alone = next((i, t) for i, t in items if len(decontam.words_of(t.split(". ")[1])) == 1)
+    data.append((len(data), f"{prose(40)} {alone[1].split('. ')[0]} {prose(40)}"))
+    expected.append(str(alone[0]))
+    mixed, apart = items[0][1].split(), " ".join(f"{w} {prose(6)}" for w in items[1][1].split())
+    rnd.shuffle(mixed)
+    data += [(len(data), " ".join(mixed)), (len(data) + 1, apart), (len(data) + 2, prose(5000))]
+    expected += ["", "", ""]
+    out = decontam.find_leaks(frame(spark, data), frame(spark, items, "item_id long, text string"))
+    assert sorted((r.doc_id, r["items"]) for r in out.collect()) == list(enumerate(expected))
+
+
+def test_words_in_order():
+    rnd = random.Random(2)
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    for _ in range(300):
+        part, words = ([rnd.choice(b"abcdef") for _ in range(rnd.randrange(n))] for n in (20, 60))
+        wide = len(part) + len(part) // 4
+        windows = lambda size: max((common(part, words[k : k + size]) for k in range(max(len(words) - size, 0) + 1)), default=0)
+        got = decontam.in_order(part, words, 1)
+        assert windows(wide) <= got <= windows(wide + max(1, len(part) // 4))
+        assert decontam.in_order(part, words, got) == got and decontam.in_order(part, words, got + 1) == 0
+
+
 def test_large_benchmarks_take_several_passes(spark, monkeypatch):
     items = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(9)]
     docs = frame(spark, [(i, "start " + t + " end") for i, t in items] + [(50, "none")])

@@ -10,7 +10,8 @@ their largest impact.  Passages are handled many at a time:
 3. a chunk whose partial score and the most that the unopened lists can add to it stay below the threshold is skipped;
 4. the others are scored in full.
 
-What is retrieved is verified: question and answer, as word n-grams, against the whole document.
+What is retrieved is verified: question and answer, as word n-grams, against the whole document, and as words in their
+order within a passage of it, as an edit takes away up to five n-grams but one word.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ PASSAGE, STRIDE = 64, 32
 RETRIEVE = 0.3
 #: N-gram length, and the parts of the question's and of the answer's n-grams that a document must hold.
 GRAM, OVERLAP = 5, 0.8
+#: A part of fewer words, in which a few edits are a large share, is judged together with the other part.
+SHORT = 10
 #: The usual parameters of BM25, and postings in a block.
 K1, B, BLOCK = 1.2, 0.75, 16
 #: Characters of items in an index; larger benchmarks are searched in several passes.
@@ -185,9 +188,46 @@ def retrieved(index: Index, texts: list[list[bytes]], retrieve: float = RETRIEVE
     return out
 
 
-def overlaps(item: tuple[object, list[bytes], list[bytes]], held: dict[int, set], words: list[bytes]) -> tuple[float, float]:
-    """The parts of the question's and of the answer's n-grams that a text has.  A part shorter than an n-gram is one
-    n-gram, and one without words is there."""
+def in_order(part: list[bytes], words: list[bytes], least: int) -> int:
+    """The most words of ``part`` that stand in their order within a passage of up to 1.25 times its length; 0 if there
+    are fewer than ``least``.
+
+    Longest common subsequences, of the part and windows that overlap so that each such passage is in one of them whole;
+    a window is read only if it has enough of the part's words.
+    """
+    n, best = len(part), max(least, 1) - 1
+    if not n:
+        return 0
+    masks: dict[bytes, int] = {}
+    for k, w in enumerate(part):
+        masks[w] = masks.get(w, 0) | 1 << k
+    step = max(1, n // 4)
+    size = n + n // 4 + step
+    known = np.fromiter((w in masks for w in words), np.int64, len(words))
+    total = np.r_[0, np.cumsum(known)]
+    begins = np.arange(0, max(len(words) - size, 0) + step, step)
+    many = np.minimum(total[np.minimum(begins + size, len(words))] - total[np.minimum(begins, len(words))], n)
+    full, found = (1 << n) - 1, 0
+    for k in np.argsort(-many, kind="stable").tolist():
+        if many[k] <= best:
+            break
+        row = full  # bits that are off: steps of the longest common subsequence
+        begin = int(begins[k])
+        for w in words[begin : begin + size]:
+            if m := masks.get(w):
+                u = row & m
+                row = (row + u | row - u) & full
+        got = n - row.bit_count()
+        if got > best:
+            best = found = got
+    return found
+
+
+def overlaps(item: tuple[object, list[bytes], list[bytes]], held: dict[int, set], words: list[bytes], overlap: float = OVERLAP) -> tuple[float, float]:
+    """The parts of the question and of the answer that a text has: of their n-grams or, where more, of their words in
+    order within a passage.  If one has fewer than ``SHORT`` words, the words of both are counted as one part, as a
+    single edit would be a large share of it.  A part shorter than an n-gram is one n-gram, and one without words is
+    there.  Words are compared only if n-grams don't suffice and words of the text could."""
     out = []
     for part in item[1:]:
         wanted = grams(part, GRAM)
@@ -195,6 +235,30 @@ def overlaps(item: tuple[object, list[bytes], list[bytes]], held: dict[int, set]
         if n and n not in held:
             held[n] = grams(words, n) if len(words) >= n else set()
         out.append(len(wanted & held[n]) / len(wanted) if wanted else 1.0)
+    if min(out) >= overlap:
+        return out[0], out[1]
+    if 1 not in held:
+        held[1] = grams(words, 1)
+    sizes = [len(p) for p in item[1:]]
+    most = [sum((w,) in held[1] for w in p) for p in item[1:]]  # bounds
+    enough = lambda part, whole: -int(-(overlap * whole - 1e-9) // 1) if part else 0
+    if 0 < min(sizes) < SHORT:
+        needed = enough(True, sum(sizes))
+        if sum(most) < needed:
+            return out[0], out[1]
+        large, little = (0, 1) if sizes[0] >= sizes[1] else (1, 0)
+        got = in_order(item[1 + large], words, needed - most[little])
+        if got + most[little] >= needed:
+            got += in_order(item[1 + little], words, needed - got)
+        if got >= needed:
+            return max(out[0], got / sum(sizes)), max(out[1], got / sum(sizes))
+        return out[0], out[1]
+    for k, part in enumerate(item[1:]):
+        needed = enough(part, sizes[k])
+        if out[k] < overlap:
+            if most[k] < needed or not (got := in_order(part, words, needed)):
+                break
+            out[k] = max(out[k], got / sizes[k])
     return out[0], out[1]
 
 
@@ -204,7 +268,7 @@ def leaks(index: Index, texts: list[str | None], retrieve: float, overlap: float
     out = []
     for w, found in zip(words, retrieved(index, words, retrieve), strict=True):
         held: dict[int, set] = {}
-        told = [(index.items[k][0], *overlaps(index.items[k], held, w)) for k in sorted(found)]
+        told = [(index.items[k][0], *overlaps(index.items[k], held, w, overlap)) for k in sorted(found)]
         out.append([x for x in told if x[1] >= overlap and x[2] >= overlap])
     return out
 
@@ -238,8 +302,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     ``question``, ``answer``: the largest overlaps among them (0 if there is none).
 
     An item leaks into a document if one of the document's passages reaches ``retrieve`` of the BM25 score that a chunk
-    of the item has against itself, and at least ``overlap`` of the word n-grams of the question, and of the answer, are
-    in the document.  Null texts and items without words have no leaks; null ids and repeated rows keep their rows, and
+    of the item has against itself, and at least ``overlap`` of the question, and of the answer, is in the document: of
+    the word n-grams, or of the words in order within a passage (of both together if one has few words).  Null texts and items without words have no leaks; null ids and repeated rows keep their rows, and
     items that repeat are one item each; an empty table on either side gives no leaks.  Other columns are not read.
 
     The index goes to all workers; a benchmark larger than ``INDEX_CHARS`` is searched in several passes.
