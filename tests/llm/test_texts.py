@@ -99,6 +99,30 @@ def test_toxicity_on_held_out_rows(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i, r in out.items() if i is not None and not r.predicted)
 
 
+def test_toxicity_within_long_runs():
+    data, labels = talk(2, 900)
+    truth = {i: y for i, _, y in labels if y is not None}
+    model = toxicity.fit([(t, truth[i]) for i, t in data if i in truth])
+    rnd = random.Random(5)
+    prose = lambda n: "".join(rnd.choice(["an", "the", "or", "in", "es"]) for _ in range(n))
+    for at in (0, 150, 400, 1000, 1995):
+        run = prose(at) + "_grumpf_blorch_grumpf_" + prose(2000 - at)
+        (odds,) = model.tags(["plain " + run + " words"])
+        tokens = [run[a:b] for a, b in toxicity.cuts(run)]
+        assert len(odds) == len(tokens) + 2
+        assert [w for w, o in zip(tokens, odds[1:-1]) if o >= 0] and all("grumpf" in w or "blorch" in w for w, o in zip(tokens, odds[1:-1]) if o >= 0)
+    (odds,) = model.tags([prose(4000)])
+    assert (odds < 0).all()
+
+
+@pytest.mark.parametrize("size", [1, 199, 200, 201, 350, 351, 400, 401, 5000])
+def test_pieces_hold_every_gram(size):
+    word = "".join(random.Random(size).choice("abcdef") for _ in range(size))
+    whole = {f"<{word}>"[i : i + n] for n in (4, 5) for i in range(size + 3 - n)}
+    assert whole <= set().union(*map(toxicity.features, toxicity.pieces(word)))
+    assert all(b - a <= toxicity.WORD_CHARS for a, b in toxicity.cuts(word))
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, [(1, "a b"), (2, None)])
     none = frame(spark, [], "doc_id long, toxic int")

@@ -28,12 +28,29 @@ RATIO = 20
 SAMPLE_ROWS, SAMPLE_BYTES = 1000, 16_000
 #: A worker forgets its scores of words beyond this many; texts are scored in groups of so many characters.
 CACHE_WORDS, GROUP_CHARS = 200_000, 1_000_000
-#: A character sequence longer than this is no word: only its first and last characters give features.
-WORD_CHARS = 200
+#: A character sequence longer than this is no word: it is cut into pieces of so many characters, each of which begins
+#: with the last ``LAP`` of the one before, and each piece is a token.
+WORD_CHARS, LAP = 200, 50
+
+
+def cuts(word: str) -> list[tuple[int, int]]:
+    """Begin and end of the tokens that a sequence of word characters gives: itself, or the pieces of a long one."""
+    size, step = len(word), WORD_CHARS - LAP
+    return [(0, size)] if size <= WORD_CHARS else [(k, min(k + WORD_CHARS, size)) for k in range(0, size - LAP, step)]
+
+
+def pieces(word: str) -> list[str]:
+    """The tokens of a sequence of word characters; ``~`` stands where a piece is cut off."""
+    return [("~" if a else "") + word[a:b] + ("~" if b < len(word) else "") for a, b in cuts(word)]
+
+
+def words_of(line: str) -> list[str]:
+    found = WORD.findall(line)
+    return found if all(len(w) <= WORD_CHARS for w in found) else [p for w in found for p in pieces(w)]
 
 
 def features(word: str) -> set[str]:
-    w = f"<{word}>" if len(word) <= WORD_CHARS else f"<{word[:WORD_CHARS]}~{word[-WORD_CHARS:]}>"
+    w = f"<{word}>".replace("<~", "").replace("~>", "")
     return {w} | {w[i : i + n] for n in (4, 5) for i in range(len(w) - n + 1)}
 
 
@@ -90,7 +107,7 @@ class Field:
         return got
 
     def tags(self, texts: list[str]) -> list[np.ndarray]:
-        """Log-odds of each word of each text; a line is a sequence."""
+        """Log-odds of each word (each piece of a long one) of each text; a line is a sequence."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         scores, breaks, bounds = [], [], [0]
@@ -99,9 +116,12 @@ class Field:
             for token in TOKEN.findall(text):
                 if token == "\n":
                     breaks.append(len(scores))
+                elif (got := known.get(token)) is not None:
+                    scores.append(got)
+                elif len(token) <= WORD_CHARS:
+                    scores.append(emission(token))
                 else:
-                    got = known.get(token)
-                    scores.append(emission(token) if got is None else got)
+                    scores += map(emission, pieces(token))
             breaks.append(len(scores))
             bounds.append(len(scores))
         ends = np.array(breaks, dtype=np.int64)
@@ -192,7 +212,7 @@ def fit(rows: Iterable[tuple[str, int]], rounds: int = 60) -> Field:
     ids: dict[str, int] = {}
     docs: list[list[np.ndarray]] = []
     for text, _ in rows:
-        found = [[ids.setdefault(w.lower(), len(ids)) for w in WORD.findall(line)] for line in text.split("\n")]
+        found = [[ids.setdefault(w.lower(), len(ids)) for w in words_of(line)] for line in text.split("\n")]
         docs.append([np.array(x, np.int32) for x in found if x])
     labels = np.array([y for _, y in rows], bool)
     base = labels.mean() if len(rows) else 0.0
@@ -289,7 +309,7 @@ def groups(texts: list[str]) -> Iterator[list[str]]:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """One row per row of ``docs``: id, ``held_out``, ``score``, ``predicted``, ``n_spans``, ``spans`` (start:end of
-    each toxic word as code points, comma-joined).
+    each toxic word, or piece of a long one, as code points, comma-joined).
 
     ``held_out`` rows have an id whose CRC-32, as text, is a multiple of ``FOLDS``; their labels are not learnt from.
     Null labels are left out; an id with several labels is toxic if one of them is.  A null id is not held out, and
@@ -309,7 +329,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 scores += tagger.scores(odds).tolist()
                 for text, o in zip(texts, odds, strict=True):
                     at = set(np.flatnonzero(o >= 0).tolist())
-                    found = [f"{m.start()}:{m.end()}" for k, m in enumerate(WORD.finditer(text)) if k in at] if at else []
+                    tokens = ((m.start() + a, m.start() + b) for m in WORD.finditer(text) for a, b in cuts(m[0]))
+                    found = [f"{a}:{b}" for k, (a, b) in enumerate(tokens) if k in at] if at else []
                     spans.append(",".join(found))
                     counts.append(len(found))
             yield pa.RecordBatch.from_arrays(
