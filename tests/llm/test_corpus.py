@@ -1,7 +1,9 @@
 """WARC archives, benchmark decontamination, mixing, and the pipeline."""
 
 import hashlib
+import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -80,20 +82,55 @@ def test_warc_rejects_damage():
     assert len(list(warc.frames(good + warc.SEPARATOR.encode() + good))) == 2
 
 
-def leaks_brute(items, text):
-    words = decontam.words_of(text)
-    index = decontam.build(items)
+def bm25_brute(items):
+    """Of all items: their chunks, as (item, {word: part of the chunk's own BM25 score}), by the formula as it is written
+    in textbooks; not by way of the operator."""
+    chunks = []
+    for key, text in items:
+        words = re.sub(r"[^a-z0-9\u0080-\U0010ffff]", " ", text.lower()).split()
+        begins = list(range(0, len(words), 64))
+        for b in begins:
+            chunks.append((key, words[-64:] if b and len(words) - b < 32 else words[b : b + 64]))
+    mean = sum(len(c) for _, c in chunks) / max(len(chunks), 1)
     out = []
-    for k, item in enumerate(index.items):
-        reach = 0.0
-        for begin in range(0, max(len(words), 1), decontam.STRIDE):
-            held = set(words[begin : begin + decontam.PASSAGE])
-            for c in (c for c in range(len(index.owner)) if index.owner[c] == k):
-                reach = max(reach, sum(x for t, x in index.weights[c].items() if next(w for w, n in index.terms.items() if n == t) in held))
-        q, a = decontam.overlaps(item, {}, words)
-        if reach >= decontam.RETRIEVE - 1e-9 and q >= decontam.OVERLAP and a >= decontam.OVERLAP:
-            out.append(item[0])
-    return sorted(map(str, out))
+    for key, c in chunks:
+        score = {}
+        for w in set(c):
+            df = sum(w in o for _, o in chunks)
+            tf = c.count(w)
+            score[w] = math.log(1 + (len(chunks) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(c) / mean))
+        out.append((key, {w: x / sum(score.values()) for w, x in score.items()}))
+    return out
+
+
+def retrieved_brute(chunks, text):
+    words = re.sub(r"[^a-z0-9\u0080-\U0010ffff]", " ", text.lower()).split()
+    passages = [set(words[b : b + 64]) for b in range(0, max(len(words), 1), 32)]
+    return {key for key, score in chunks if any(sum(x for w, x in score.items() if w in p) >= 0.3 - 1e-9 for p in passages)}
+
+
+def covered_brute(part, text):
+    """Whether 0.8 of a part's 5-grams are in a text, or of its words in order within a passage."""
+    part, words = decontam.words_of(part), decontam.words_of(text)
+    if not part:
+        return True
+    n = min(5, len(part))
+    wanted = {tuple(part[k : k + n]) for k in range(len(part) - n + 1)}
+    held = {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
+    return len(wanted & held) >= 0.8 * len(wanted) or decontam.in_order(part, words, 1) >= 0.8 * len(part) - 1e-9
+
+
+def leaks_brute(items, chunks, text):
+    out = []
+    for key in retrieved_brute(chunks, text or ""):
+        item = next(t for i, t in items if i == key)
+        told = (key, *decontam.parts(item))
+        q, a = decontam.overlaps(told, {}, decontam.words_of(text))
+        if q >= decontam.OVERLAP and a >= decontam.OVERLAP:
+            out.append(str(key))
+        if min(len(told[1]), len(told[2])) >= decontam.SHORT:
+            assert (q >= 0.8 and a >= 0.8) == all(covered_brute(" ".join(w.decode() for w in p), text) for p in told[1:])
+    return sorted(out)
 
 
 def test_decontamination(spark):
@@ -117,7 +154,8 @@ def test_decontamination(spark):
     docs = frame(spark, [(*r, True) for r in data], "doc_id long, text string, contaminated boolean")
     out = decontam.find_leaks(docs, benchmark)
     got = sorted(((r.doc_id, r.contaminated, r.n_items, sorted(filter(None, r["items"].split(",")))) for r in out.collect()), key=repr)
-    expected = sorted(((i, bool(x := leaks_brute(items, t)), len(x), x) for i, t in data), key=repr)
+    chunks = bm25_brute(items)
+    expected = sorted(((i, bool(x := leaks_brute(items, chunks, t)), len(x), x) for i, t in data), key=repr)
     assert got == expected and sum(g[1] for g in got) > 15
     assert decontam.drop_leaks(docs, benchmark).count() == sum(not g[1] for g in got)
     assert decontam.drop_leaks(docs, benchmark).columns == docs.columns
@@ -171,12 +209,52 @@ def test_words_in_order():
         assert decontam.in_order(part, words, got) == got and decontam.in_order(part, words, got + 1) == 0
 
 
-def test_large_benchmarks_take_several_passes(spark, monkeypatch):
-    items = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(9)]
-    docs = frame(spark, [(i, "start " + t + " end") for i, t in items] + [(50, "none")])
-    monkeypatch.setattr(decontam, "INDEX_CHARS", 200)
-    out = decontam.find_leaks(docs, frame(spark, items, "item_id long, text string"))
-    assert sorted((r.doc_id, r["items"]) for r in out.collect()) == [(i, str(i)) for i, _ in items] + [(50, "")]
+def shared_vocabulary(seed, items, passages):
+    rnd = random.Random(seed)
+    words = [f"{a}{b}{c}" for a in ("an", "the", "or", "st", "qu", "in", "es") for b in ("ing", "ed", "er", "ion", "a", "", "ly", "um") for c in ("", "o", "is", "ta")]
+    weight = [1 / (k + 1) for k in range(len(words))]
+    prose = lambda n: rnd.choices(words, weight, k=n)
+    own = [(i, " ".join(prose(rnd.choice([12, 30, 60, 150])))) for i in range(items)]
+    data = []
+    for i in range(passages):
+        leak = rnd.choice(own)[1].split()
+        begin = rnd.randrange(len(leak))
+        data.append((i, " ".join(prose(rnd.randrange(60)) + leak[begin : begin + rnd.randrange(len(leak))] + prose(rnd.randrange(60)))))
+    return own, data
+
+
+def test_retrieval_against_bm25():
+    items, data = shared_vocabulary(4, 60, 150)
+    chunks = bm25_brute(items)
+    expected = [retrieved_brute(chunks, t) for _, t in data]
+    assert 100 < sum(map(len, expected)) < 6000
+    for block in (1, 4, 32):
+        decontam.BLOCK, held = block, decontam.BLOCK
+        try:
+            told = decontam.statistics([t for _, t in items])
+            for parts in (1, 4):  # slices of the items, with statistics of all
+                got = [set() for _ in data]
+                for k in range(parts):
+                    index = decontam.build(items[k::parts], told)
+                    for mine, found in zip(got, decontam.retrieved(index, [decontam.words_of(t) for _, t in data])):
+                        mine |= {index.items[i][0] for i in found}
+                assert got == expected
+        finally:
+            decontam.BLOCK = held
+
+
+def test_results_do_not_depend_on_slices(spark, monkeypatch):
+    items, data = shared_vocabulary(7, 40, 60)
+    data += [(100 + i, "start " + t + " end") for i, t in items] + [(None, items[0][1]), (100, "start " + items[0][1] + " end"), (99, None)]
+    docs, benchmark = frame(spark, data), frame(spark, items + items[:3], "item_id long, text string")
+    whole = rows(decontam.find_leaks(docs, benchmark))
+    assert sum(r[1] for r in whole) >= 41
+    seen = []
+    monkeypatch.setattr(decontam, "INDEX_CHARS", 3000)
+    monkeypatch.setattr(decontam, "build", lambda *a, f=decontam.build: seen.append(a) or f(*a))
+    assert rows(decontam.find_leaks(docs, benchmark)) == whole and len(seen) >= 3
+    assert max(sum(len(t) for _, t in a[0]) for a in seen) < sum(len(t) for _, t in items) / 2
+    assert sorted(rows(decontam.drop_leaks(docs, benchmark)), key=repr) == sorted(((i, t) for i, t in data if (i, t) not in {(j, dict(data).get(j) if j is not None else items[0][1]) for j, c, *_ in whole if c}), key=repr)
 
 
 def test_mixing(spark):

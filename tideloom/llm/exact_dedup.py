@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small, stash
+from .common import anti, lookup, semi, stash
 
 #: Fixed: what counts as white space, and is one space after normalisation.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -22,9 +22,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept).  Repeated rows that share the smallest id and the text are all kept: they are the same document.  Other
     columns are not read, and an empty table gives an empty result.
 
-    Texts are shuffled only for groups of several rows, after copies within a task have been folded into one.  What is
-    joined to the documents is one narrow row per such group.  ``content_hash`` is a parameter so that tests can make
-    it collide.
+    Texts are shuffled only for groups of several rows, after copies within a task have been folded into one; with more
+    groups than may be broadcast, a filter of bounded size picks those texts out, and lets a part of the others pass as
+    it fills up (``common.marked``).  What is joined to the documents is one narrow row per group.  ``content_hash`` is
+    a parameter so that tests can make it collide.
     """
     texts = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_text"))
     hashed = texts.select("_id", F.unhex(content_hash("_text")).alias("_hash"), F.sha2("_text", 256).alias("text_sha256"))
@@ -32,21 +33,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = hashed.groupBy("_hash").agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
     groups = stash(groups.where("_size > 1"), "groups")
 
-    hashes = small(groups.select("_hash"))
-    members = texts.withColumn("_hash", F.unhex(content_hash("_text"))).join(hashes, "_hash", "left_semi")
+    members = semi(texts.withColumn("_hash", F.unhex(content_hash("_text"))), groups.select("_hash"), "_hash")
     classes = members.groupBy("_hash", "_text").agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
     clashes = stash(classes.groupBy("_hash").count().where("count > 1").select("_hash"), "clashes")
 
-    marked = hashed.join(small(groups), "_hash", "left")
+    told = lookup(hashed, groups, "_hash")
     if not clashes.isEmpty():
-        clashes = small(clashes)
-        marked = marked.join(clashes, "_hash", "left_anti")
-        exact = classes.join(clashes, "_hash", "left_semi")
-        rows = texts.withColumn("_hash", F.unhex(content_hash("_text"))).join(clashes, "_hash", "left_semi")
+        told = anti(told, clashes, "_hash")
+        exact = semi(classes, clashes, "_hash")
+        rows = semi(texts.withColumn("_hash", F.unhex(content_hash("_text"))), clashes, "_hash")
         rows = rows.withColumn("text_sha256", F.sha2("_text", 256)).join(exact, ["_hash", "_text"], "left")
-        marked = marked.unionByName(rows.select(marked.columns))
+        told = told.unionByName(rows.select(told.columns))
     keep = F.when(F.coalesce("_size", F.lit(1)) > 1, F.col("_keep")).otherwise(F.col("_id"))
-    return marked.select(
+    return told.select(
         F.col("_id").alias(id_col),
         keep.alias("keep_id"),
         F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
