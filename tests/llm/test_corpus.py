@@ -282,18 +282,35 @@ def _grouped(out, per):
     return [held[k] for k in per]
 
 
-def test_poisson_steps(spark):
-    from math import exp, factorial
-
-    for rate in (0.01, 0.7, 5.0):
-        (steps,) = spark.range(1).select(mixing.poisson_steps(F.lit(rate)).alias("s")).first()
-        total = 0.0
-        for k, s in enumerate(steps[:30]):
-            total += exp(-rate) * rate**k / factorial(k)
-            assert s == pytest.approx(total)
-        assert steps[-1] == pytest.approx(1)
-    (steps,) = spark.range(1).select(mixing.poisson_steps(F.lit(2000.0)).alias("s")).first()
-    assert steps[-1] == pytest.approx(1) and steps[2000] == pytest.approx(0.506, abs=0.01)
+def poisson_brute(rate, at):
+    total, k = 0.0, 0
+    while True:
+        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        if total >= at or k > rate + 12 * rate**0.5 + 20:
+            return k
+        k += 1
+
+
+def test_poisson_inverse(spark):
+    rnd = random.Random(3)
+    data = [(rate, rnd.random()) for rate in (0.01, 0.7, 5.0, 300.0, 2000.0) for _ in range(40)] + [(0.5, 0.0)]
+    out = frame(spark, data, "rate double, at double").select("rate", "at", mixing.poisson_inverse(F.col("rate"), F.col("at")).alias("k")).collect()
+    assert [r.k for r in out] == [poisson_brute(r.rate, r["at"]) for r in out]
+
+
+def test_mixing_of_rare_sources_and_null_ids(spark):
+    docs = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("a").alias("source"))
+    docs = docs.unionByName(frame(spark, [(7, "rare", "b"), (7, "rare", "b"), (8, None, "b")], "doc_id long, text string, source string"))
+    weights = frame(spark, [("a", 1.0), ("b", 9.0)], "source string, weight double")
+    out = mixing.mix_sources(docs, weights, rows=1_000_000).cache()
+    assert abs(out.where("source = 'a'").count() - 100_000) < 2000
+    assert abs(out.where("source = 'a'").select("text").distinct().count() - 63_212) < 1000  # 1 - 1/e of them
+    rare = {(r.doc_id, r.text): (r["count"], r.top, r.kinds) for r in out.where("source = 'b'").groupBy("doc_id", "text").agg(F.count("*").alias("count"), F.max("copy").alias("top"), F.count_distinct("copy").alias("kinds")).collect()}
+    assert rare[7, "rare"][0] % 2 == 0 and rare[7, "rare"][1] + 1 == rare[7, "rare"][2] == rare[7, "rare"][0] // 2
+    assert rare[8, None][1] + 1 == rare[8, None][2] == rare[8, None][0]
+    assert all(abs(n - 300_000) < 5000 for n in (rare[8, None][0], rare[7, "rare"][0] // 2))
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 3 * sum(sizes) / len(sizes)
 
 
 def test_pipeline(spark, tmp_path):

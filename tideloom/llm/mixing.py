@@ -4,32 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small
+from .common import small, stash
 
 #: 13 hexadecimal digits of an MD5 hash make a uniform number.
 DIGITS = 13
+#: A row's copies are made in one task up to so many.
+CHUNK = 1000
 
 
 def uniform(seed: str, *cols: Column) -> Column:
     """A number in [0, 1) that depends on the seed and the columns only."""
-    text = F.concat_ws(":", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("null")) for c in cols])
+    text = F.concat_ws(":", F.lit(seed), *cols)
     return F.conv(F.substring(F.md5(text), 1, DIGITS), 16, 10).cast("double") / F.lit(float(16**DIGITS))
 
 
-def poisson_steps(rate: Column) -> Column:
-    """The cumulative distribution of Poisson(``rate``) for 0, 1, 2, ... up to far into its tail.
+def poisson_inverse(rate: Column, at: Column) -> Column:
+    """The least k at which the cumulative distribution of Poisson(``rate``) reaches ``at``.
 
-    Terms are built in logarithms, so that a large rate does not underflow.
+    A running sum over k up to far into the tail, in steps whose number is that of the copies a row can get; nothing is
+    held but the sum.  Terms are built in logarithms, so that a large rate does not underflow.
     """
     last = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
-    start = F.struct((-rate).alias("log"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("steps"))
+    start = F.struct((-rate).alias("log"), F.exp(-rate).alias("sum"), (F.exp(-rate) < at).cast("long").alias("copies"))
 
     def step(acc: Column, k: Column) -> Column:
-        log = acc["log"] + F.log(rate) - F.log(k.cast("double"))
+        log = acc["log"] + F.log(rate / k)
         total = acc["sum"] + F.exp(log)
-        return F.struct(log.alias("log"), total.alias("sum"), F.concat(acc["steps"], F.array(total)).alias("steps"))
+        return F.struct(log.alias("log"), total.alias("sum"), (acc["copies"] + (total < at).cast("long")).alias("copies"))
 
-    return F.aggregate(F.sequence(F.lit(1), last), start, step)["steps"]
+    return F.aggregate(F.sequence(F.lit(1), last), start, step)["copies"]
 
 
 def mix_sources(
@@ -39,6 +42,7 @@ def mix_sources(
     seed: str = "mix",
     id_col: str = "doc_id",
     source_col: str = "source",
+    text_col: str = "text",
     copy_col: str | None = "copy",
 ) -> DataFrame:
     """``docs`` with each row repeated as often as its source needs, in a globally shuffled order.
@@ -50,11 +54,12 @@ def mix_sources(
     says at a uniform number hashed from seed and id; so a run gives the same counts again, whatever the partitioning.
     Copies are numbered from 0 in ``copy_col`` (none if it is None; a column of that name is replaced).
 
-    A null source is a source of its own; null and repeated ids draw the same number, so repeated rows are repeated
-    alike.  A null text stays.  An empty table gives an empty result.
+    A null source is a source of its own.  Repeated rows draw the same number and are repeated alike; rows with a null
+    id draw by their text.  A null text stays.  An empty table gives an empty result.
 
     Rates are one row per source and are broadcast only after a count.  Rows are dealt by a hash of seed, id and copy,
-    so a hot source spreads evenly.
+    so a hot source spreads evenly.  Where a source is so rare that its rows are repeated more than ``CHUNK`` times, its
+    rows are first split into chunks of copies, which are dealt out before the copies are made.
     """
     counts = docs.groupBy(F.col(source_col).alias("_source")).agg(F.count(F.lit(1)).alias("_n"))
     if weights is None:
@@ -65,14 +70,18 @@ def mix_sources(
     totals = shares.agg(F.sum("_weight").alias("_all"), F.sum("_n").alias("_rows"))
     wanted = F.col("_rows") if rows is None else F.lit(float(rows))
     rates = shares.crossJoin(F.broadcast(totals)).where("_weight > 0")  # totals is one row
-    rates = rates.select("_source", poisson_steps(F.col("_weight") / F.col("_all") * wanted / F.col("_n")).alias("_steps"))
-
-    at = uniform(seed, F.col(id_col))
-    steps = small(rates.select(F.col("_source").alias("__mix_of"), F.col("_steps").alias("__mix_steps")), 10_000)
-    copies = F.size(F.filter("__mix_steps", lambda s: s < F.col("__mix_at")))
-    out = docs.withColumn("__mix_at", at).join(steps, F.col(source_col).eqNullSafe(F.col("__mix_of")))
-    out = out.withColumn("__mix_copies", copies).where("__mix_copies > 0").drop("__mix_steps", "__mix_of", "__mix_at")
-    out = out.withColumn("__mix_copy", F.explode(F.sequence(F.lit(0), F.col("__mix_copies") - 1))).drop("__mix_copies")
-    out = out.withColumn("__mix_order", F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col), F.col("__mix_copy"))))
-    out = out.repartition("__mix_order").sortWithinPartitions("__mix_order").drop("__mix_order")
-    return out.drop("__mix_copy") if copy_col is None else out.withColumn(copy_col, F.col("__mix_copy")).drop("__mix_copy")
+    rates = stash(rates.select(F.col("_source").alias("__mix_of"), (F.col("_weight") / F.col("_all") * wanted / F.col("_n")).alias("__mix_rate")), "rates")
+
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    out = docs.withColumn("__mix_name", name).join(small(rates, 10_000), F.col(source_col).eqNullSafe(F.col("__mix_of")))
+    out = out.withColumn("__mix_copies", poisson_inverse(F.col("__mix_rate"), uniform(seed, F.col("__mix_name")))).where("__mix_copies > 0")
+    often = F.col("__mix_rate") > CHUNK / 2
+    last = F.col("__mix_copies") - 1
+    plain = out.where(~often).withColumn("__mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    if not rates.where(often).isEmpty():
+        chunked = out.where(often).withColumn("__mix_first", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(CHUNK).cast("long"))))
+        chunked = chunked.repartition("__mix_name", "__mix_first")
+        plain = plain.unionByName(chunked.withColumn("__mix_copy", F.explode(F.sequence(F.col("__mix_first"), F.least(F.col("__mix_first") + CHUNK - 1, last)))).drop("__mix_first"))
+    out = plain.withColumn("__mix_order", F.md5(F.concat_ws(":", F.lit(seed), "__mix_name", F.col("__mix_copy"))))
+    out = out.repartition("__mix_order").sortWithinPartitions("__mix_order").drop("__mix_order", "__mix_of", "__mix_rate", "__mix_copies", "__mix_name")
+    return out.drop("__mix_copy") if copy_col is None else out.withColumn(copy_col, F.col("__mix_copy").cast("int")).drop("__mix_copy")

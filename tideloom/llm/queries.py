@@ -82,7 +82,7 @@ ORACLE_SQL = {
         r AS (SELECT source, 1.0::DOUBLE / count(*) OVER () * (sum(n) OVER ())::DOUBLE / n AS rate FROM c),
         k AS (SELECT source, rate, unnest(generate_series(0, CAST(ceil(rate + 12 * sqrt(rate) + 20) AS BIGINT))) AS k FROM r),
         s AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1.0))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM k),
-        u AS (SELECT *, ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS at FROM documents),
+        u AS (SELECT *, ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS at FROM documents),
         n AS (SELECT u.*, (SELECT count(*) FROM s WHERE s.source IS NOT DISTINCT FROM u.source AND s.cdf < u.at) AS copies FROM u)
         SELECT doc_id, text, lang, source, n_chars, CAST(unnest(generate_series(0, copies - 1)) AS INTEGER) AS copy FROM n WHERE copies > 0""",
 }
