@@ -155,6 +155,13 @@ def test_secrets(spark):
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
 
 
+def test_secrets_of_a_text_with_very_many(spark):
+    rnd = random.Random(8)
+    text = " ".join("é" * rnd.randrange(3) + "%024x" % rnd.getrandbits(96) for _ in range(100_000)) + " token=abcdef"
+    (got,) = secrets.scan_secrets(frame(spark, [(1, text, "s", "en")], "doc_id long, text string, source string, lang string")).collect()
+    assert ([got.n_assign, got.n_access, got.n_hex], got.base_sha256, got.spans) == secrets_brute(text)
+
+
 def test_secret_ownership(spark):
     common, own = "token=exampleexample1", "token=mineminemine22"
     data = [(i, common if i < 5 else own, f"o{i}" if i < 5 else "o9", "en") for i in range(8)] + [(8, common + " " + own, None, None), (9, "-----BEGIN RSA PRIVATE KEY-----", "o1", "en")]

@@ -28,6 +28,8 @@ PEM_BODY = (
 #: A text without any of these has no candidate.
 TRACE = r"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|gh[opsur]_|xox[abprs]-|eyJ|-----BEGIN "
 
+#: Matches whose spans are gathered at a time.
+CHUNK = 256
 SPAN = "array<struct<start:int,rank:int,kind:string,stop:int,value:string>>"
 
 
@@ -51,7 +53,7 @@ def spans_of(text: Column, rank: int, kind: str, pattern: str, group: int, least
         F.arrays_zip(whole.alias("whole"), value.alias("value"), F.transform(gaps, F.char_length).alias("gap")),
         lambda m: F.struct(F.coalesce(m["gap"], F.lit(0)).alias("gap"), F.char_length(m["whole"]).alias("size"), m["value"].alias("value")),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    empty = F.array().cast(SPAN)
 
     def step(acc: Column, m: Column) -> Column:
         begin = acc["at"] + m["gap"]
@@ -60,7 +62,19 @@ def spans_of(text: Column, rank: int, kind: str, pattern: str, group: int, least
         good = F.char_length(m["value"]) >= least
         return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(parts, start, step)["out"]
+    def gathered(p: Column) -> Column:
+        """Arrays grow by copies, so spans are gathered in chunks of matches, whose places are summed up before."""
+        firsts = F.sequence(F.lit(1), F.size(p), F.lit(CHUNK))
+        sizes = F.transform(firsts, lambda k: F.aggregate(F.slice(p, k, F.lit(CHUNK)), F.lit(0), lambda n, m: n + m["gap"] + F.coalesce(m["size"], F.lit(0))))
+
+        def chunks(sizes: Column) -> Column:
+            before = lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda n, x: n + x)
+            return F.transform(firsts, lambda k, i: F.aggregate(F.slice(p, k, F.lit(CHUNK)), F.struct(before(i).alias("at"), empty.alias("out")), step)["out"])
+
+        # one-element transforms bind a value to a name, so that it is worked out once
+        return F.flatten(F.transform(F.array(sizes), chunks)[0])
+
+    return F.when(F.size(whole) > 0, F.transform(F.array(parts), gathered)[0]).otherwise(empty)
 
 
 def written(spans: Column) -> Column:
