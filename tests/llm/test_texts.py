@@ -45,6 +45,20 @@ def test_token_counts(spark):
     assert rows(token_counts.count_tokens(docs.limit(0), path, 2048)) == []
 
 
+def test_token_counts_of_long_pre_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    library, rnd = Tokenizer.from_file(path), random.Random(2)
+    bpe = token_counts.load(path)
+    words = ["".join(rnd.choice(letters) for _ in range(n)) for letters in ("ab", "aé", "etaoinshr", "abcdefghijklmnopqrstuvwxyz") for n in (1, 2, 7, 100, 257, 3000)] + ["a" * n for n in (3, 257, 1000, 1001)]
+    assert [bpe.merged_alone(w) for w in words] == bpe.merged(words).tolist()
+    texts = [*words, "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)), "x" * 1_000_000]
+    docs = frame(spark, list(enumerate(texts)), "`doc id` long, text string")
+    got = {r[0]: r.n_tokens for r in token_counts.count_tokens(docs, path, 2048, id_col="doc id").collect()}
+    assert [got[k] for k in range(len(texts))] == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_passes_against_enumeration():
     rnd = np.random.default_rng(0)
     e, trans, first = rnd.normal(size=9), rnd.normal(size=(2, 2)), 0.4

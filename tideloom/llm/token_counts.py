@@ -2,7 +2,9 @@
 
 Texts are cut into pre-tokens, and the pre-tokens that a worker has not met before are merged together: all their
 symbols lie in one flat array with row offsets, and each step applies to every sequence its own pair of lowest rank, at
-all places at once.  The number of symbols that survive is the number of tokens.
+all places at once.  The number of symbols that survive is the number of tokens.  A very long pre-token takes many steps,
+so it is merged by itself, with the places of each rank held ready: a step ranks anew only the neighbours of the pairs
+that it merged.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +29,9 @@ from .common import bounded_batches
 #: differently.  Texts with one of them are cut by the vocabulary's own library.
 LATE = regex.compile(r"[[\U00010000-\U0010FFFF]&&[\p{L}\p{N}\p{Cn}]]|[\u0870-\u08ff\u1c80-\u1c8f\ua7c0-\ua7ff]", regex.V1)
 
-#: A worker forgets its counts of pre-tokens beyond this many.
-CACHE_WORDS = 300_000
+#: A worker forgets its counts of pre-tokens beyond this many; those of more characters than ``LONG`` are merged alone, and
+#: not kept.
+CACHE_WORDS, LONG = 300_000, 256
 
 
 def byte_symbols() -> list[str]:
@@ -55,7 +60,9 @@ class WordBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made
         self.never = np.int64(len(pairs))
+        self.pairs = {(vocab[a], vocab[b]): (k, vocab[a + b]) for k, (a, b) in enumerate(pairs)}
         special = [t["content"] for t in spec["added_tokens"]]
+        self.mark = commonprefix(special)
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.find = regex.compile(split["pattern"]["Regex"], regex.V0).findall
@@ -95,9 +102,54 @@ class WordBpe:
             symbols, row = symbols[keep], row[keep]
         return count
 
+    def merged_alone(self, word: str) -> int:
+        """The number of symbols that survive in a word, however long."""
+        raw = word.encode("utf-8", "surrogatepass")
+        inner = self.inner.tolist()
+        symbol = [inner[b] for b in raw[:-1]] + [int(self.final[raw[-1]])]
+        end, find = len(symbol), self.pairs.get
+        after, before = [*range(1, end + 1)], [*range(-1, end - 1)]
+        rank = [-1] * end  # of the pair that begins at each place; -1 for none, or a symbol that is gone
+        places: dict[int, list[int]] = {}
+        ranks: list[int] = []
+
+        def note(k: int) -> None:
+            got = find((symbol[k], symbol[after[k]])) if after[k] < end else None
+            rank[k] = got[0] if got else -1
+            if got:
+                if got[0] not in places:
+                    heappush(ranks, got[0])
+                    places[got[0]] = []
+                places[got[0]].append(k)
+
+        for k in range(end):
+            note(k)
+        count = end
+        while ranks:
+            lowest = heappop(ranks)
+            touched: list[int] = []
+            for k in sorted(set(places.pop(lowest))):
+                if rank[k] != lowest:  # gone, or merged with its neighbour meanwhile
+                    continue
+                gone = after[k]
+                symbol[k] = find((symbol[k], symbol[gone]))[1]
+                after[k] = after[gone]
+                if after[k] < end:
+                    before[after[k]] = k
+                rank[gone] = rank[k] = -1
+                if before[k] >= 0:
+                    rank[before[k]] = -1
+                    touched.append(before[k])
+                touched.append(k)
+                count -= 1
+            for k in set(touched):
+                if before[k] < 0 or after[before[k]] == k:  # still there
+                    note(k)
+        return count
+
     def pieces(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens of a text, and the number of special strings in it."""
-        parts = self.special.split(text) if self.special and "<|" in text else [text]
+        parts = self.special.split(text) if self.special and self.mark in text else [text]
         words: list[str] = []
         for part in parts:
             if not part.isascii() and LATE.search(part):
@@ -122,10 +174,15 @@ class WordBpe:
                 if len(known) > CACHE_WORDS:
                     known.clear()
                 new = list({w for words, _ in held for w in words if w not in known})
-                for i in range(0, len(new), 100_000):
-                    part = new[i : i + 100_000]
+                short = [w for w in new if len(w) <= LONG]
+                for i in range(0, len(short), 100_000):
+                    part = short[i : i + 100_000]
                     known.update(zip(part, self.merged(part).tolist(), strict=True))
+                alone = [w for w in new if len(w) > LONG]
+                known.update((w, self.merged_alone(w)) for w in alone)
                 out += [sum(map(known.__getitem__, words)) + n for words, n in held]
+                for w in alone:
+                    del known[w]
                 held, size = [], 0
         return out
 
@@ -154,4 +211,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int, id_col: str = "do
                 names=[id_col, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return bounded_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return bounded_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
