@@ -1,5 +1,6 @@
 """WARC archives, benchmark decontamination, mixing, and the pipeline."""
 
+import base64
 import hashlib
 import math
 import random
@@ -72,7 +73,7 @@ def test_warc_rejects_damage():
     coder = zstandard.ZstdCompressor(write_checksum=True)
     good = coder.compress(record)
     assert warc.parse(next(warc.frames(good)))[1] == b"payload"
-    spoiled = [record[:-5], record.replace(b"payload", b"pay1oad"), record.replace(b"Content-Length: 7", b"Content-Length: 8"), record.replace(b"WARC-Date", b"WARC-Data"), record.replace(b"response", b"metadata", 1), b"junk"]
+    spoiled = [record[:-5], record.replace(b"payload", b"pay1oad"), record.replace(b"Content-Length: 7", b"Content-Length: 8"), record.replace(b"WARC-Date", b"WARC-Data"), record.replace(b"Type: response", b"Type: revisit", 1), record.replace(b"Payload-Digest", b"Block-Digest"), b"junk"]
     for bad in spoiled:
         with pytest.raises(warc.ArchiveError):
             warc.parse(bad)
@@ -82,6 +83,56 @@ def test_warc_rejects_damage():
     assert len(list(warc.frames(good + warc.SEPARATOR.encode() + good))) == 2
 
 
+def by_hand(kind, block, *more, version="1.0"):
+    head = [f"WARC/{version}", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x:{kind}>", "WARC-Date: 2020-01-01T00:00:00Z", *more, f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_ordinary_archives(spark, tmp_path):
+    """Frames without a content size, all types of records, digests of other kinds, replies without a length."""
+    body = "grüße".encode() * 30
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    chunked = b"A\r\n" + body[:10] + b"\r\n%x;x=1\r\n" % (len(body) - 10) + body[10:] + b"\r\n0\r\n\r\n"
+    message = ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{sha1}"]
+    records = [
+        by_hand("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields", "WARC-Filename: a.warc.zst"),
+        by_hand("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", "Content-Type: application/http; msgtype=request", "WARC-Target-URI: <http://x/>"),
+        by_hand("response", b"HTTP/1.1 200 OK\r\nServer: y\r\n\r\n" + body, *message, "WARC-Target-URI: http://x/ü"),
+        by_hand("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked, *message, version="1.1"),
+        by_hand("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + body, *message),
+        by_hand("resource", body, "Content-Type: text/html", f"WARC-Block-Digest: sha1:{sha1}"),
+        by_hand("metadata", b"fetchTimeMs: 4\r\n", "Content-Type: application/warc-fields", "WARC-Payload-Digest: crc9:77"),
+        by_hand("revisit", b"HTTP/1.1 304 Not Modified\r\nServer: y\r\n\r\n", *message, "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/server-not-modified"),
+        by_hand("conversion", body, "Content-Type: text/plain", "WARC-Refers-To: <urn:x:response>"),
+        by_hand("own-kind", b"anything"),
+    ]
+    streamed = []
+    for r in records:  # as a stream is compressed, whose length isn't known ahead
+        coder = zstandard.ZstdCompressor(write_content_size=False).compressobj()
+        streamed.append(coder.compress(r) + coder.flush())
+    assert all(zstandard.get_frame_parameters(f).content_size in (0, 2**64 - 1) for f in streamed)
+    (tmp_path / "a.warc.zst").write_bytes(b"".join(streamed))
+    got = {(r.record_type, k): r for k, r in enumerate(warc.read_warc(spark, str(tmp_path), with_payload=True).collect())}
+    assert [k for k, _ in sorted(got, key=lambda x: x[1])] == ["warcinfo", "request", "response", "response", "response", "resource", "metadata", "revisit", "conversion", "own-kind"]
+    by = [got[k] for k in sorted(got, key=lambda x: x[1])]
+    assert [bytes(by[k].payload) for k in (2, 3, 4, 5, 8)] == [body] * 5 and {by[k].payload_digest for k in (2, 3, 4, 5, 8)} == {hashlib.sha256(body).hexdigest()}
+    assert by[1].target_uri == "http://x/" and by[2].target_uri == "http://x/ü" and by[1].payload_bytes == 0
+    assert by[7].payload is None and by[7].payload_digest == f"sha1:{sha1}" and by[7].payload_bytes is None and by[8].refers_to == "urn:x:response"
+    assert by[9].payload is None
+    for bad in (records[2].replace(body, body[:-1] + b"x"), records[5].replace(body, body[:-1] + b"x"), records[7].replace(b"WARC-Profile", b"X-Profile")):
+        with pytest.raises(warc.ArchiveError):
+            warc.parse(bad)
+
+
+def test_warc_names(spark):
+    """Ids of any string, and addresses as they were."""
+    ids = ["", "a b", "x/y?z", "ü+%2F", None, " padded ", "urn:page:", "1\n2"]
+    data = [(i, u, "p" * 200 if k < 3 else f"page {k}") for k, (i, u) in enumerate(zip(ids, ["http://x/a b", "http://x/%20?q=ü", "", None, "http://x/<y>", "plain", "é", "x"]))]
+    out = {r.page_id: r for r in warc.round_trip(frame(spark, data, "page_id string, url string, html string")).collect()}
+    assert set(out) == set(ids) and all(out[i].target_uri == u for i, u, _ in data)
+    assert [out[i].refers_to for i in ids[:4]] == [None, "", "", None] and [out[i].record_type for i in ids[:4]] == ["response", "revisit", "revisit", "response"]
+
+
 def bm25_brute(items):
     """Of all items: their chunks, as (item, {word: part of the chunk's own BM25 score}), by the formula as it is written
     in textbooks; not by way of the operator."""

@@ -7,7 +7,9 @@ Zstandard files.  They are read with Spark's binary file source.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -30,6 +32,10 @@ SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 16 << 10, 32 << 10
 #: Equal payloads below this size are stored again.
 REVISIT_BYTES = 100
 READ = "record_id string, target_uri string, payload_bytes long, payload_digest string, record_type string, refers_to string"
+#: Fixed names of the types of records.
+TYPES = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
+#: Records that a page makes have ids that begin so; that of a row without an id has another end.
+NAMED, UNNAMED = "urn:page:", "urn:unnamed-page"
 
 
 class ArchiveError(ValueError):
@@ -48,12 +54,22 @@ def leading_frame(dictionary: bytes) -> bytes:
     return struct.pack("<II", DICTIONARY, len(dictionary)) + dictionary if dictionary else b""
 
 
+def clean(uri: str) -> str:
+    """A header's value in UTF-8, in which only what could not be read back is percent-encoded: control characters, and
+    white space at either end."""
+    return re.sub(r"[\x00-\x1f\x7f-\x9f\u2028\u2029\ud800-\udfff]|^\s+|\s+$", lambda m: quote(m[0], safe="", errors="surrogatepass"), uri)
+
+
+def name_of(key: str | None) -> str:
+    return UNNAMED if key is None else NAMED + quote(key, safe="")
+
+
 def record(record_id: str, uri: str | None, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
     """A response record, or a revisit record if ``refers_to`` is given: that holds the reply's head only."""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {date}"]
     if uri is not None:
-        head.append("WARC-Target-URI: " + quote(uri, safe=":/?#[]@!$&'()*+,;=%-._~"))
+        head.append("WARC-Target-URI: " + clean(uri))
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
     if refers_to is None:
         block += payload
@@ -104,7 +120,7 @@ def frames(archive: bytes) -> Iterator[bytes]:
         elif magic == FRAME:
             end = frame_end(data, at)
             try:
-                yield reader.decompress(data[at:end])
+                yield reader.decompressobj().decompress(data[at:end])  # a frame needn't say how large its content is
             except zstandard.ZstdError as e:
                 raise ArchiveError(f"the frame at byte {at} doesn't decode: {e}") from e
             at = end
@@ -126,30 +142,76 @@ def fields(head: bytes, first: str) -> dict[str, str]:
     return out
 
 
+def dechunked(body: bytes) -> bytes | None:
+    """The content of a reply in chunks; None if it isn't well-formed, as archives may hold what was decoded before."""
+    out, at = [], 0
+    while m := re.compile(rb"([0-9A-Fa-f]{1,15})[^\r\n]*\r\n").match(body, at):
+        size, begin = int(m[1], 16), m.end()
+        if not size:
+            return b"".join(out)
+        if body[begin + size : begin + size + 2] != b"\r\n":
+            return None
+        out.append(body[begin : begin + size])
+        at = begin + size + 2
+    return None
+
+
+def has_digest(digest: str, content: bytes) -> bool | None:
+    """Whether a content has a digest ``algorithm:value``, in hexadecimal or Base32; None if it can't be told."""
+    name, colon, value = digest.partition(":")
+    name = name.lower().replace("-", "")
+    if not colon or name not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return None
+    own = hashlib.new(name, content).digest()
+    return value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
+
+
 def parse(content: bytes) -> tuple[dict[str, str], bytes, int, str]:
-    """Headers, payload, its full length and digest of one record, all lengths and digests checked."""
+    """Headers, payload, its full length and SHA-256 digest of one record.
+
+    Every record has to have its fields, and a block of its length.  The payload is the block, or what follows the head
+    of an HTTP message in it, which must be as long as that head says, if it does; the digests of block and payload are
+    checked where they are given and of a known kind.  Of a revisit, which has no payload, length (-1 if unknown) and
+    digest are what the headers say.
+    """
     head, gap, rest = content.partition(b"\r\n\r\n")
     if not gap:
         raise ArchiveError("a record without the end of its head")
-    h = fields(head, "WARC/1.")
+    h = fields(head, "WARC/")
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in h:
             raise ArchiveError(f"a record without {name}")
     if not h["content-length"].isdigit() or len(rest) != int(h["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
         raise ArchiveError(f"{h['warc-record-id']}: the block has {len(rest) - 4} bytes, its header says {h['content-length'][:20]}")
-    reply, gap, payload = rest[:-4].partition(b"\r\n\r\n")
-    size = fields(reply, "HTTP/").get("content-length", "")
-    if not gap or not size.isdigit():
-        raise ArchiveError(f"{h['warc-record-id']}: a reply without its length")
-    digest = h.get("warc-payload-digest", "").removeprefix("sha256:")
-    if h["warc-type"] == "response":
-        if len(payload) != int(size):
-            raise ArchiveError(f"{h['warc-record-id']}: the payload has {len(payload)} bytes, its header says {size}")
-        if hashlib.sha256(payload).hexdigest() != digest:
-            raise ArchiveError(f"{h['warc-record-id']}: the payload doesn't have its digest")
-    elif h["warc-type"] != "revisit" or payload or "warc-refers-to" not in h or len(digest) != 64:
-        raise ArchiveError(f"{h['warc-record-id']}: neither a response nor a whole revisit")
-    return h, payload, int(size), digest
+    kind, block, said = h["warc-type"], rest[:-4], h.get("warc-payload-digest", "")
+    if kind not in TYPES:
+        return h, b"", -1, ""  # other types may be skipped, says the format
+    if has_digest(h.get("warc-block-digest", ""), block) is False:
+        raise ArchiveError(f"{h['warc-record-id']}: the block doesn't have its digest")
+    message = h.get("content-type", "").lower().replace(" ", "").startswith("application/http") and kind in ("response", "request", "revisit")
+    size, payloads = None, [block]
+    if message:
+        reply, gap, payload = block.partition(b"\r\n\r\n")
+        if not gap and kind != "revisit":
+            raise ArchiveError(f"{h['warc-record-id']}: a message without the end of its head")
+        held = fields(reply, "HTTP/" if kind != "request" else "") if reply else {}
+        size, payloads = held.get("content-length"), [payload]
+        if "chunked" in held.get("transfer-encoding", "").lower():
+            size, whole = None, dechunked(payload)
+            payloads = [payload] if whole is None else [whole, payload]
+        if size is not None and not size.isdigit():
+            raise ArchiveError(f"{h['warc-record-id']}: a message with a bad length")
+    if kind == "revisit":
+        if "warc-profile" not in h or not said and "warc-refers-to" not in h:
+            raise ArchiveError(f"{h['warc-record-id']}: a revisit that doesn't tell of what")
+        return h, b"", -1 if size is None else int(size), said.removeprefix("sha256:")
+    if size is not None and len(payloads[0]) != int(size) and "warc-truncated" not in h and kind == "response":
+        raise ArchiveError(f"{h['warc-record-id']}: the payload has {len(payloads[0])} bytes, its header says {size}")
+    checks = [has_digest(said, p) for p in payloads]
+    if False in checks and True not in checks:
+        raise ArchiveError(f"{h['warc-record-id']}: the payload doesn't have its digest")
+    payload = payloads[checks.index(True) if True in checks else 0]
+    return h, payload, len(payload), hashlib.sha256(payload).hexdigest()
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> None:
@@ -177,8 +239,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: st
         held, size = [leading_frame(dictionary)], 0
         for batch in batches:
             for key, uri, payload, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                name = f"urn:page:{quote(key) if key is not None else ''}"
-                frame = coder.compress(record(name, uri, payload.encode(), digest, None if refers is None else f"urn:page:{quote(refers)}", date))
+                frame = coder.compress(record(name_of(key), uri, payload.encode(), digest, None if refers is None else name_of(refers), date))
                 if size and size + len(frame) > archive_bytes:
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["archive"])
                     held, size = held[:1], 0
@@ -193,9 +254,10 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: st
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """One row per record of the archives in the folder ``path``: ``record_id``, ``target_uri``, ``payload_bytes`` and
-    ``payload_digest`` of the full payload, ``record_type``, ``refers_to``; with ``payload`` (null for revisits) if
-    asked for.  A frame, header, length or digest that doesn't hold raises ``ArchiveError``."""
+    """One row per record of the archives in the folder ``path``, whatever its type: ``record_id``, ``target_uri``,
+    ``payload_bytes`` and ``payload_digest`` (SHA-256; of a revisit as its headers say) of the full payload,
+    ``record_type``, ``refers_to``; with ``payload`` (null for revisits) if asked for.  Records of a type that the format
+    doesn't know have no payload.  A frame, header, length or digest that doesn't hold raises ``ArchiveError``."""
     schema = READ + (", payload binary" if with_payload else "")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,9 +266,11 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
                 out, held = [], 0
                 for frame in frames(content.as_py()):
                     h, payload, size, digest = parse(frame)
-                    row = [h["warc-record-id"].strip("<>"), h.get("warc-target-uri"), size, digest, h["warc-type"], h["warc-refers-to"].strip("<>") if h["warc-type"] == "revisit" else None]
+                    kind, uri, refers = h["warc-type"], h.get("warc-target-uri"), h.get("warc-refers-to")
+                    uri = uri[1:-1] if uri and uri[0] == "<" and uri[-1] == ">" else uri  # as the format's first version has it
+                    row = [h["warc-record-id"].strip("<>"), uri, None if size < 0 else size, digest or None, kind, refers.strip("<>") if refers else None]
                     held += len(payload) * with_payload + 200
-                    out.append(row + [payload if h["warc-type"] == "response" else None] * with_payload)
+                    out.append(row + [payload if kind in TYPES and kind != "revisit" else None] * with_payload)
                     if held > 16 << 20:
                         yield table(out)
                         out, held = [], 0
@@ -229,6 +293,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", **columns: str) -> Dat
     spark, path = pages.sparkSession, new_path(pages.sparkSession, "warc")
     write_warc(pages, path, id_col, **columns)
     kind = pages.schema[id_col].dataType
-    key = lambda c: F.url_decode(F.nullif(F.substring(c, 10, 2**30), F.lit(""))).cast(kind)
+    # plus signs stand for themselves in the names
+    key = lambda c: F.when(F.startswith(c, F.lit(NAMED)), F.url_decode(F.substring(c, len(NAMED) + 1, 2**30))).cast(kind)
     back = read_warc(spark, path)
-    return back.select(key("record_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", key("refers_to").alias("refers_to"), "target_uri")
+    return back.select(key(F.col("record_id")).alias(id_col), "payload_bytes", "payload_digest", "record_type", key(F.col("refers_to")).alias("refers_to"), "target_uri")
