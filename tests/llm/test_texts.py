@@ -1,6 +1,7 @@
 """Token counts, toxicity, secrets and licences."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -113,6 +114,27 @@ def test_toxicity_on_held_out_rows(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i, r in out.items() if i is not None and not r.predicted)
 
 
+def test_long_texts_take_no_place_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 20)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda data: seen.append(list(data)))
+    data = [(i, ("words " * 9000 if i % 3 else f"short text {i}")) for i in range(300)]
+    toxicity.train(frame(spark, data), frame(spark, [(i, i % 2) for i in range(300)], "doc_id long, toxic int"), "doc_id", "text", "toxic")
+    assert len(seen[0]) == 40 and sum(y for _, y in seen[0]) == 20 and all(len(t) < 100 for t, _ in seen[0])
+
+
+TABLES = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.exists(TABLES), reason="needs the test tables")
+def test_toxicity_on_the_tables_labels(spark):
+    """Held-out rows of the given tables, which the tagger was not fitted to."""
+    docs, labels = (spark.read.parquet(f"{TABLES}/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.score_toxicity(docs, labels).where("held_out").join(labels.where("toxic is not null"), "doc_id").collect()
+    found, all_, wrong = sum(r.predicted and r.toxic for r in out), sum(r.toxic for r in out), sum(r.predicted and not r.toxic for r in out)
+    assert len(out) >= 50 and found >= 0.8 * all_ and wrong <= 0.02 * len(out)
+
+
 def test_toxicity_within_long_runs():
     data, labels = talk(2, 900)
     truth = {i: y for i, _, y in labels if y is not None}

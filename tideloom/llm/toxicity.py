@@ -16,15 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, stash
 
 WORD = re.compile(r"\w+")
 TOKEN = re.compile(r"\w+|\n")
 FOLDS = 5
 #: A marker is so many times as frequent in toxic documents as in others.
 RATIO = 20
-#: Training takes at most so many labelled rows of each class (those of the smallest MD5 of the id), of texts of at
-#: most so many bytes; scoring takes every row and whole texts.
+#: Training takes at most so many labelled rows of each class: of those whose texts have at most so many bytes, the ones
+#: of the smallest MD5 of the id.  Scoring takes every row and whole texts.
 SAMPLE_ROWS, SAMPLE_BYTES = 1000, 16_000
 #: A worker forgets its scores of words beyond this many; texts are scored in groups of so many characters.
 CACHE_WORDS, GROUP_CHARS = 200_000, 1_000_000
@@ -286,9 +286,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     """A field fitted to the bounded sample of labelled rows that aren't held out."""
     known = labels.where(F.col(label_col).isNotNull() & (remainder(F.col(id_col)) != 0))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
+    texts = docs.where(F.octet_length(text_col) <= SAMPLE_BYTES).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    # only ids are met here, before they are ranked, so that rows with longer texts take nobody's place
+    known = stash(known.join(texts.select("_id"), "_id", "left_semi"), "labelled")
     rank = lambda y: known.where(F.col("_label") == y).orderBy(F.md5(F.col("_id").cast("string"))).limit(SAMPLE_ROWS)
     chosen = rank(1).unionByName(rank(0))
-    texts = docs.where(F.octet_length(text_col) <= SAMPLE_BYTES).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     # at most 2 * SAMPLE_ROWS ids are broadcast; repeated rows of an id count once
     sample = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text")).collect()
     return fit([(r["_text"], int(r["_label"])) for r in sorted(sample, key=lambda r: r["_id"])])
