@@ -46,14 +46,25 @@ def test_exact_excludes_collisions(spark):
     assert rows(exact_dedup.exact_dedup(frame(spark, EXACT), content_hash=weak)) == exact_brute(EXACT)
 
 
-def near(a, b):
-    if len(a) == len(b):
-        return sum(x != y for x, y in zip(a, b)) <= 1
-    a, b = max(a, b, key=len), min(a, b, key=len)
-    return len(a) - len(b) == 1 and any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
+def units(line, unit):
+    return re.split(r"[ \t\r\x0b\x0c]+", line) if unit == "words" else list(line)
 
 
-def lines_brute(data):
+def near(a, b, edits):
+    """Whether the edit distance of two lists is within the bound, by the textbook's table."""
+    if abs(len(a) - len(b)) > edits:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1] <= edits
+
+
+def lines_brute(data, unit="words", edits=1, least=None):
+    least = (line_dedup.NEAR_WORDS if unit == "words" else line_dedup.NEAR_CHARS) if least is None else least
     first = {}
     place = lambda i, p: (i is None, i if i is not None else 0, p)
     for i, t in data:
@@ -61,10 +72,10 @@ def lines_brute(data):
             if k := line.strip(BLANKS):
                 first[k] = min(first.get(k, (True, 10**9, 0)), place(i, p))
     gone = set()
-    keys = [k for k in first if len(k) >= line_dedup.NEAR_CHARS]
-    for n, x in enumerate(keys):
-        for y in keys[:n]:
-            if near(x, y) and first[x] != first[y]:
+    keys = [(k, u) for k in first if len(u := units(k, unit)) >= max(least, edits + 1)]
+    for n, (x, a) in enumerate(keys):
+        for y, b in keys[:n]:
+            if edits and first[x] != first[y] and near(a, b, edits):
                 gone.add(max(x, y, key=first.get))
     out = []
     for i, t in data:
@@ -73,26 +84,38 @@ def lines_brute(data):
     return sorted(out, key=repr), len(gone)
 
 
-def edited(rnd, s):
+def edited(rnd, s, letters):
     k, i = rnd.randrange(3), rnd.randrange(len(s) + 1)
-    return s[:i] + rnd.choice("xyzé") + s[i:] if k == 0 else s[:i] + s[i + 1 :] if k == 1 else s[:i] + rnd.choice("xyz") + s[i + 1 :]
+    return s[:i] + [rnd.choice(letters)] + s[i:] if k == 0 else s[:i] + s[i + 1 :] if k == 1 else s[:i] + [rnd.choice(letters)] + s[i + 1 :]
 
 
-def test_lines(spark):
-    rnd = random.Random(3)
-    base = ["".join(rnd.choice("ab cdé") for _ in range(rnd.choice([5, 19, 20, 21, 31, 32, 33, 47, 48, 64, 100, 300]))) for _ in range(40)]
+@pytest.mark.parametrize(("unit", "edits", "least"), [("words", 1, None), ("words", 2, 5), ("chars", 1, None), ("chars", 2, 1), ("words", 0, None), ("words", 1, 1)])
+def test_lines(spark, unit, edits, least):
+    rnd = random.Random(3 + edits)
+    letters = ["a", "b", "cd", "é"] if unit == "words" else list("ab cdé𝒳")
+    sizes = [1, 2, 3, 5, 7, 8, 9, 12, 16, 17, 25] if unit == "words" else [2, 5, 19, 20, 21, 31, 32, 33]
+    base = [[rnd.choice(letters) for _ in range(rnd.choice(sizes))] for _ in range(25)]
     data = []
-    for i in range(150):
+    for i in range(120):
         held = []
-        for _ in range(rnd.randrange(0, 8)):
+        for _ in range(rnd.randrange(0, 6)):
             s = rnd.choice(base)
-            for _ in range(rnd.choice([0, 0, 1, 1, 1, 2])):
-                s = edited(rnd, s)
-            held.append(rnd.choice(["", "", " ", "\t"]) + s)
+            for _ in range(rnd.choice([0, 0, 1, 1, 2, 2, 3])):
+                s = edited(rnd, s, letters)
+            held.append(rnd.choice(["", "", " ", "\t"]) + (rnd.choice([" ", "  ", "\t"]) if unit == "words" else "").join(s))
         data.append((i if rnd.random() > 0.05 else None, "\n".join(held) if rnd.random() > 0.03 else None))
-    data += data[:4] + [(7, "x" * 30 + "\nabc"), (500, "long line " * 3000), (501, "long line " * 3000 + "."), (502, ""), (503, "\n \n")]
-    expected, gone = lines_brute(data)
-    assert gone > 100 and rows(line_dedup.dedup_lines(frame(spark, data))) == expected
+    long = ["word" + str(k % 7) for k in range(120)]
+    data += data[:4] + [(500, " ".join(long)), (501, " ".join([*long[:60], "other", *long[61:]])), (502, ""), (503, "\n \n"), (504, " ".join(long[:-2]))]
+    expected, gone = lines_brute(data, unit, edits, least)
+    assert (gone > 20 or not edits) and rows(line_dedup.dedup_lines(frame(spark, data), unit=unit, edits=edits, least=least)) == expected
+
+
+def test_very_long_lines(spark):
+    rnd = random.Random(1)
+    long = [f"w{rnd.randrange(10**6)}" for _ in range(140_000)]  # a million characters
+    texts = [" ".join(long), " ".join([*long[:99_999], "other", *long[100_000:]]), " ".join(long[1:]), " ".join([*long[:5], "x", *long[6:70_000], "y", *long[70_001:]]), "".join(long)]
+    out = rows(line_dedup.dedup_lines(frame(spark, [(k, t + "\nend") for k, t in enumerate(texts)])))
+    assert [t for _, t in out] == [texts[0] + "\nend", "", "", texts[3], texts[4]]
 
 
 def test_lines_keep_columns(spark):
@@ -181,5 +204,8 @@ def test_without_broadcasts(spark, monkeypatch):
     assert rows(exact_dedup.exact_dedup(docs)) == exact_brute(EXACT)
     data = similar(8, 80)
     assert rows(ngram_join.ngram_join(frame(spark, data))) == join_brute(data, 4, 85)
-    lines = [(i, f"a first line of words\nline {i // 2} is long enough to count{'!' * (i % 2)}\nx") for i in range(30)]
+    lines = [(i, f"a first line of words\nline {i // 2} of so many words is long enough to count {'!' * (i % 2)}\nx") for i in range(30)]
+    assert lines_brute(lines)[1] >= 15 and rows(line_dedup.dedup_lines(frame(spark, lines))) == lines_brute(lines)[0]
+    monkeypatch.setattr(common, "FILTER_SLOTS", 2)  # a filter that lets most rows pass
     assert rows(line_dedup.dedup_lines(frame(spark, lines))) == lines_brute(lines)[0]
+    assert rows(exact_dedup.exact_dedup(docs)) == exact_brute(EXACT)

@@ -97,6 +97,13 @@ def semi(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return marked(rows, keys, key).where("__in").drop("__in").join(keys, key, "left_semi")
 
 
+def meet(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to a narrow, stashed ``table`` with distinct keys; see ``semi``."""
+    if few(table):
+        return rows.join(F.broadcast(table), key)
+    return marked(rows, table, key).where("__in").drop("__in").join(table, key)
+
+
 def anti(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The ``rows`` whose ``key`` isn't in ``keys(key)``, a stashed table; see ``semi``."""
     if few(keys):

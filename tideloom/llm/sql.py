@@ -20,19 +20,22 @@ WORDS = "(" + "|".join(map(either_case, ("password", "passwd", "secret", "token"
 
 
 def line_dedup_sql() -> str:
-    least = line_dedup.NEAR_CHARS
+    """Lines within one word of each other share their first or last half, cut where the longer one's is."""
+    least = line_dedup.NEAR_WORDS
     blanks = r"' ' || chr(9) || chr(13) || chr(11) || chr(12)"
+    less = lambda x, i: f"list_concat({x}[1:{i} - 1], {x}[{i} + 1:])"
     return f"""
     WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
     lines AS (SELECT *, trim(raw, {blanks}) AS line FROM raw),
-    firsts AS (SELECT line, min({{'last': doc_id IS NULL, 'id': coalesce(doc_id, 0), 'pos': pos}}) AS fst, length(line) AS n FROM lines WHERE line <> '' GROUP BY line),
-    keys AS (SELECT line, fst, n, unnest([n, n + 1]) AS l FROM firsts WHERE n >= {least}),
-    halves AS (SELECT line, fst, n, l, 'p' AS side, left(line, l // 2) AS half FROM keys UNION ALL SELECT line, fst, n, l, 's', right(line, l - l // 2) FROM keys),
+    firsts AS (SELECT line, min({{'last': doc_id IS NULL, 'id': coalesce(doc_id, 0), 'pos': pos}}) AS fst FROM lines WHERE line <> '' GROUP BY line),
+    cut AS MATERIALIZED (SELECT line, fst, string_split_regex(line, '[ \t\r\x0b\x0c]+') AS w, len(string_split_regex(line, '[ \t\r\x0b\x0c]+')) AS n FROM firsts),
+    keys AS (SELECT *, unnest([n, n + 1]) AS l FROM cut WHERE n >= {least}),
+    halves AS (SELECT line, n, l, 'p' AS side, w[1:l // 2] AS half FROM keys UNION ALL SELECT line, n, l, 's', w[n - (l - l // 2) + 1:] FROM keys),
     pairs AS (SELECT DISTINCT a.line AS a, b.line AS b FROM halves a JOIN halves b ON a.l = b.l AND a.side = b.side AND a.half = b.half AND a.line <> b.line AND a.n >= b.n AND (a.n = a.l OR b.n = b.l)),
-    near AS (SELECT a, b FROM pairs WHERE CASE WHEN length(a) = length(b)
-        THEN list_bool_or(list_transform(range(1, length(a) + 1), lambda i: substr(a, 1, i - 1) || substr(a, i + 1) = substr(b, 1, i - 1) || substr(b, i + 1)))
-        ELSE list_bool_or(list_transform(range(1, length(a) + 1), lambda i: substr(a, 1, i - 1) || substr(a, i + 1) = b)) END),
-    gone AS (SELECT DISTINCT CASE WHEN x.fst > y.fst THEN x.line ELSE y.line END AS line FROM near JOIN firsts x ON x.line = near.a JOIN firsts y ON y.line = near.b WHERE x.fst <> y.fst),
+    near AS (SELECT x.line AS a, y.line AS b, x.fst AS fa, y.fst AS fb FROM pairs JOIN cut x ON x.line = a JOIN cut y ON y.line = b WHERE CASE WHEN x.n = y.n
+        THEN list_bool_or(list_transform(range(1, x.n + 1), lambda i: {less('x.w', 'i')} = {less('y.w', 'i')}))
+        ELSE list_bool_or(list_transform(range(1, x.n + 1), lambda i: {less('x.w', 'i')} = y.w)) END),
+    gone AS (SELECT DISTINCT CASE WHEN fa > fb THEN a ELSE b END AS line FROM near WHERE fa <> fb),
     told AS (SELECT l.*, l.line = '' OR (g.line IS NULL AND f.fst = {{'last': doc_id IS NULL, 'id': coalesce(doc_id, 0), 'pos': pos}}) AS stays
         FROM lines l LEFT JOIN firsts f ON f.line = l.line LEFT JOIN gone g ON g.line = l.line)
     SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropped,
