@@ -36,7 +36,9 @@ def _trimmed(line: Column) -> Column:
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The lines that are not blank: ``_id``, ``_key`` of the row, ``_pos``, ``_line`` (trimmed)."""
-    rows = docs.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("_key"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("_pos", "_raw"))
+    # the key is worked out below the explode, once for a row
+    rows = docs.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
+    rows = rows.select("_id", "_key", F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_raw"))
     return rows.select("_id", "_key", "_pos", _trimmed(F.col("_raw")).alias("_line")).where("_line <> ''")
 
 
@@ -70,13 +72,40 @@ def _rest(units: Column, size: Column, many: Column, i: Column, j: Column, a: in
     return F.xxhash64(*parts)
 
 
-def coarse_keys(units: Column, least: int, edits: int) -> Column:
-    """Keys of a line, of which it shares one with each line within the bound: its rests with one segment more than
-    there may be edits, for edits in different segments."""
-    size, many = F.size(units), F.lit(edits + 1)
-    pairs = [(i, j) for i in range(edits + 1) for j in ([i] if edits == 1 else range(i + 1, edits + 1))]
-    keys = F.array(*[_rest(units, size, many, F.lit(i), F.lit(j), a, c, edits) for i, j in pairs for a, c in _shapes(edits)])
-    return F.when(size >= least, keys)
+def spaced(line: Column, unit: str) -> Column:
+    """A line whose words stand one space apart, as ``_cut`` wants it."""
+    odd = reduce(Column.__or__, [F.contains(line, F.lit(b)) for b in ("  ", "\t", "\r", "\x0b", "\x0c")])
+    return F.when(odd, F.array_join(units_of(line, unit), " ")).otherwise(line) if unit == "words" else line
+
+
+def _cut(line: Column, begin: Column | None, end: Column | None, size: Column, unit: str) -> Column:
+    """The units of a line from ``begin`` up to ``end`` (None: from its first, up to its last), as a string; without
+    cutting the line into an array."""
+    if unit == "chars":
+        begin = F.lit(0) if begin is None else begin
+        return F.substring(line, begin + 1, size - begin if end is None else end - begin)
+    if end is not None:
+        line, size = F.call_function("substring_index", line, F.lit(" "), end), end
+    return line if begin is None else F.call_function("substring_index", line, F.lit(" "), begin - size)
+
+
+def sized(lines: DataFrame, unit: str) -> DataFrame:
+    """``lines`` with ``_spaced``, for ``_cut``, and the number of units ``_size``."""
+    lines = lines.withColumn("_spaced", spaced(F.col("_line"), unit))
+    return lines.withColumn("_size", F.char_length("_spaced") if unit == "chars" else F.octet_length("_spaced") - F.octet_length(F.replace("_spaced", F.lit(" "))) + 1)
+
+
+def coarse_keys(unit: str, least: int, edits: int) -> Column:
+    """Keys of a line (see ``sized``), of which it shares one with each line within the bound: its rests with one segment
+    more than there may be edits, for edits in different segments."""
+    line, size, keys = F.col("_spaced"), F.col("_size"), []
+    for a, c in _shapes(edits):
+        bound = lambda k, n=size - F.lit(a + c): F.floor(n * k / (edits + 1)).cast("int")  # noqa: B023, E731
+        for free in range(edits + 1):  # the segment without edits, which begins behind a unit for each gap before it
+            begin = bound(free) + F.lit(a if free < edits else a + c) if free else None
+            end = bound(free + 1) + F.lit(a if free else 0) if free < edits else None
+            keys.append(F.xxhash64(size - F.lit(a + c), F.lit(free), _cut(line, begin, end, size, unit)))
+    return F.when(size >= least, F.array(*keys))
 
 
 def rests(texts: DataFrame, edits: int) -> DataFrame:
@@ -131,7 +160,7 @@ def _left(units: str, a: str, c: str) -> Column:
 def superseded(lines: DataFrame, firsts: DataFrame, unit: str, edits: int) -> DataFrame:
     """``_line_hash`` of the lines that have an earlier one within the bound.  ``firsts`` has a row for each distinct
     line: ``_line_hash``, ``_first`` and its coarse keys."""
-    keys = firsts.select("_line_hash", F.explode("_keys").alias("_coarse")).distinct()
+    keys = firsts.select("_line_hash", F.explode("_keys").alias("_coarse"))
     shared = keys.groupBy("_coarse").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_coarse")
     partners = keys.join(shared, "_coarse", "left_semi").select("_line_hash").distinct()
     partners = stash(partners.join(firsts, "_line_hash").select("_line_hash", "_first"), "partners")
@@ -160,10 +189,10 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise ValueError("a unit is words or chars, and the bound 0, 1 or 2 edits")
     least = max((NEAR_WORDS if unit == "words" else NEAR_CHARS) if least is None else least, edits + 1)
     lines = _lines(docs, id_col, text_col)
-    keys = coarse_keys(F.col("_units"), least, edits) if edits else F.lit(None).cast("array<bigint>")
-    held = lines.withColumn("_units", units_of(F.col("_line"), unit)) if edits else lines
+    keys = coarse_keys(unit, least, edits) if edits else F.lit(None).cast("array<bigint>")
+    held = sized(lines, unit) if edits else lines
     held = stash(held.select("_id", "_key", "_pos", F.unhex(F.md5("_line")).alias("_line_hash"), keys.alias("_keys")), "lines")
-    firsts = held.groupBy("_line_hash").agg(F.min(_order()).alias("_first"), F.count(F.lit(1)).alias("_n"), F.max("_keys").alias("_keys"))
+    firsts = held.groupBy("_line_hash").agg(F.min(_order()).alias("_first"), F.count(F.lit(1)).alias("_n"), F.any_value("_keys").alias("_keys"))
     firsts = stash(firsts, "first-lines")
     decided = firsts.where("_n > 1").select("_line_hash", "_first")
     if edits:
