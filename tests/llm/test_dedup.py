@@ -209,3 +209,34 @@ def test_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(common, "FILTER_SLOTS", 2)  # a filter that lets most rows pass
     assert rows(line_dedup.dedup_lines(frame(spark, lines))) == lines_brute(lines)[0]
     assert rows(exact_dedup.exact_dedup(docs)) == exact_brute(EXACT)
+
+
+def test_many_near_copies_are_dealt_out_in_proportion(spark, monkeypatch):
+    """Rows that are sent for a group of distinct near copies grow with it, not with its square."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 32)
+    dealt = []
+    monkeypatch.setattr(ngram_join, "gathered", lambda rows, payload, f=ngram_join.gathered: dealt.append(rows.count()) or f(rows, payload))
+    rnd = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    sent = []
+    for number in (300, 1200):
+        data = []
+        for i in range(number):
+            d = list(base)
+            for _ in range(rnd.choice([1, 1, 2, 12])):
+                d[rnd.randrange(150)] = f"x{rnd.randrange(10**6)}"
+            data.append((i, " ".join(d)))
+        dealt.clear()
+        assert rows(ngram_join.ngram_join(frame(spark, data))) == join_brute(data, 4, 85)
+        sent.append(sum(dealt))
+    assert sent[1] < 6 * sent[0] and sent[1] < 1200 * (ngram_join.ROUNDS + 3)
+
+
+def test_ngram_join_of_very_long_texts(spark):
+    rnd = random.Random(6)
+    long = [f"w{rnd.randrange(50_000)}" for _ in range(200_000)]
+    other = list(long)
+    for _ in range(3000):
+        other[rnd.randrange(200_000)] = "x"
+    data = [(1, " ".join(other)), (2, " ".join(long)), (3, "word " * 100_000), (4, "word " * 5), (5, "x" * 500_000)]
+    assert rows(ngram_join.ngram_join(frame(spark, data))) == join_brute(data, 4, 85)

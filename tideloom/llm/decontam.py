@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import anti, bounded_batches, lookup, row_key, stash
+from .common import anti, bounded_batches, lookup, row_key, spread, stash
 
 #: Words of a passage, and how far the next one begins; every word of a text is in a passage.
 PASSAGE, STRIDE = 64, 32
@@ -158,12 +158,6 @@ def build(items: list[tuple[object, str]], told: Statistics, retrieve: float = R
     )
 
 
-def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """first[0], first[0]+1, ... for ``count[0]`` values, then the same for the next."""
-    ends = np.cumsum(count)
-    return np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
-
-
 def retrieved(index: Index, texts: list[list[bytes]], retrieve: float = RETRIEVE) -> list[set[int]]:
     """For each text, as words, the items of which one of its passages reaches a chunk."""
     out: list[set[int]] = [set() for _ in texts]

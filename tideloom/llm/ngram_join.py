@@ -4,14 +4,17 @@ The join skips by the relations between sets.
 
 * Equal sets are one set.  Everything below is on distinct sets.
 * Index lists hold, for each shingle of a set's prefix (in a global order that puts frequent shingles last), the sets by
-  size, with the shingle's position.  Sizes that can't link cut a list into runs, and in a run the entries are skipped
-  whose position leaves too few shingles for any partner of the run.
-* Runs with the same first set are one group, so a pair that shares hundreds of lists is met in few groups.  Groups are
-  worked through in pairs of blocks of bounded size: first on parity bitmaps, which bound an overlap from above, so that
-  most sets drop out; then, with whole sets of those that remain, exactly.
-* In a block, one set is the pivot, whose symmetric differences to all others are taken once.  The overlap of any two
-  sets follows from their differences to the pivot, which are small where the sets are alike.  Blocks return a forest
-  of links, not all pairs.
+  size and by the shingle's position in them.  Sizes that can't link cut a list into runs.  Entries of one size and
+  position are a block; blocks whose position leaves too few shingles for any partner of the run are skipped by their
+  header, and not opened.
+* Runs with the same first set are one group, so a pair that shares hundreds of lists is met in few groups.  First parity
+  bitmaps, which bound an overlap from above, sort out the sets without a partner; then whole sets are compared.
+* In a group, sets follow one another so that similar ones are neighbours.  The overlaps of a set with all others, and by
+  them its answers, are derived from those of the set before it: they change only in the sets that are on the group's
+  lists of the shingles in which the two differ.  A forest of the links is kept, not all pairs.
+* A large group is first dealt out at random into blocks, ``ROUNDS`` times, and links are sought within blocks.  Near
+  copies nearly all fall into one component by that.  Then only those outside of a group's largest component have to be
+  compared with all others, in pairs of blocks; so the rows that are sent grow with a group of copies, not with its square.
 
 No step compares less than all: order, groups and bitmaps decide about the work, not about the result.
 """
@@ -26,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, small, stash, unstash
+from .common import anti, bounded_batches, lookup, meet, row_key, semi, spread, stash, unstash
 
 #: Odd multipliers of the words of a shingle: rules make them, from the golden ratio on.
 MULTIPLIERS = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1) ** 5) % 2**64 | 1) for k in range(16)]
@@ -34,8 +37,8 @@ CACHE_WORDS = 300_000
 #: Shingles are counted in groups of texts of so many characters; one that occurs in so many sets of a group is put
 #: into the table of frequent ones, of which at most so many, the most frequent, are kept.  The table only orders.
 COUNT_CHARS, COUNT_LEAST, FREQUENT_ROWS = 8_000_000, 6, 1_000_000
-#: Blocks of a group have about so many sets and shingles.
-BLOCK_SETS, BLOCK_SHINGLES = 256, 500_000
+#: Blocks of a group have about so many sets and shingles, and large groups are dealt out so often.
+BLOCK_SETS, BLOCK_SHINGLES, ROUNDS = 256, 500_000, 3
 NODE = "struct<hi:bigint,lo:bigint>"
 
 
@@ -184,7 +187,7 @@ def grouped(lists: DataFrame, percent: int) -> DataFrame:
 
     A task streams through its lists in order and holds a batch at a time, whatever a list's length.
     """
-    rows = lists.repartition("shingle").sortWithinPartitions("shingle", "size", "hi", "lo")
+    rows = lists.repartition("shingle").sortWithinPartitions("shingle", "size", "place", "hi", "lo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = np.empty((0, 5), np.int64)
@@ -200,20 +203,24 @@ def grouped(lists: DataFrame, percent: int) -> DataFrame:
             repeat = np.r_[False, ~new[1:] & (x[1:, :3] == x[:-1, :3]).all(axis=1)]
             x, new = x[~repeat], new[~repeat]
             begin = np.flatnonzero(new)
-            run_of = np.cumsum(new) - 1
             many = np.diff(np.r_[begin, len(x)])
-            head = x[begin[run_of]]
-            size, left = x[:, 3], x[:, 3] - x[:, 4]
-            smallest = np.maximum(-(-percent * size // 100), head[:, 3])
-            fits = (many[run_of] > 1) & (left >= least_overlap(size + smallest, percent))
+            # the headers of blocks: one size and position of a run
+            block = np.flatnonzero(new | np.r_[True, (x[1:, 3:] != x[:-1, 3:]).any(axis=1)])
+            run_of = np.searchsorted(begin, block, side="right") - 1
+            size, left = x[block, 3], x[block, 3] - x[block, 4]
+            smallest = np.maximum(-(-percent * size // 100), x[begin[run_of], 3])
+            opened = (many[run_of] > 1) & (left >= least_overlap(size + smallest, percent))
             # runs of two: one pair decides; the last run of a batch may still grow
             pair = begin[(many == 2) & (np.arange(len(begin)) < len(begin) - 1)]
             pair = pair[pair >= fresh]
-            short = np.minimum(left[pair], left[pair + 1]) < least_overlap(size[pair] + size[pair + 1], percent)
-            fits[pair[short]] = fits[pair[short] + 1] = False
+            rest = x[:, 3] - x[:, 4]
+            short = pair[np.minimum(rest[pair], rest[pair + 1]) < least_overlap(x[pair, 3] + x[pair + 1, 3], percent)]
+            opened &= ~np.isin(begin[run_of], short)
+            at = spread(block[opened], np.diff(np.r_[block, len(x)])[opened])
+            head = np.repeat(begin[run_of[opened]], np.diff(np.r_[block, len(x)])[opened])
             last = begin[-1]
             carried = x[[last, len(x) - 1]] if len(x) - 1 > last else x[[last]]
-            out = np.unique(np.concatenate([head[fits][:, 1:3], x[fits][:, 1:4]], axis=1), axis=0)
+            out = np.unique(np.concatenate([x[head, 1:3], x[at, 1:4]], axis=1), axis=0)
             if len(out):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out.T], names=["h_hi", "h_lo", "hi", "lo", "size"])
 
@@ -221,19 +228,54 @@ def grouped(lists: DataFrame, percent: int) -> DataFrame:
     return out.select(F.struct(F.col("h_hi").alias("hi"), F.col("h_lo").alias("lo")).alias("head"), F.struct("hi", "lo").alias("node"), "size")
 
 
-def blocked(members: DataFrame, payload: DataFrame) -> DataFrame:
-    """Members of groups of two and more, dealt out to pairs of blocks, with ``payload(node, data)`` joined:
-    ``head, first, second, block, node, size, data``, sorted by the first three within partitions."""
+def sizes_of(members: DataFrame) -> DataFrame:
+    """``head, parts`` of the groups of two and more: into how many blocks they go."""
     sizes = members.groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).where("n > 1")
     parts = F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("s") / BLOCK_SHINGLES)).cast("int")
-    sizes = small(stash(sizes.select("head", parts.alias("parts")), "sizes"))
-    rows = members.join(sizes, "head").join(payload, "node")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("head", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "node", "size", "data")
+    return stash(sizes.select("head", parts.alias("parts")), "sizes")
+
+
+def gathered(rows: DataFrame, payload: DataFrame) -> DataFrame:
+    """``head, first, second, block, node, size`` with ``payload(node, data)``, for ``hopeful`` and ``links``: rows of
+    equal ``head, first, second`` together, sorted.  If ``first`` and ``second`` differ, the sets of one block are to be
+    compared with those of the other, else all."""
+    rows = rows.join(payload, "node").select("head", "first", "second", "block", "node", "size", "data")
     return rows.repartition("head", "first", "second").sortWithinPartitions("head", "first", "second", "size", "node")
 
 
+def whole_groups(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members of the groups that one block holds."""
+    zero = [F.lit(0).alias(c) for c in ("first", "second", "block")]
+    return meet(members, sizes.where("parts = 1").drop("parts"), "head").select("head", *zero, "node", "size")
+
+
+def at_random(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members of larger groups, dealt out to blocks ``ROUNDS`` times."""
+    rows = meet(members, sizes, "head").withColumn("round", F.explode(F.array(*map(F.lit, range(ROUNDS)))))
+    block = F.col("round") * F.col("parts") + F.pmod(F.xxhash64("round", "node"), "parts").cast("int")
+    return rows.select("head", block.alias("first"), block.alias("second"), block.alias("block"), "node", "size")
+
+
+def with_rest(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of groups with ``rest``: whether they are outside of the component that has most of a group's members."""
+    rows = stash(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    counts = rows.groupBy("head", "root").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.groupBy("head").agg(F.max(F.struct("n", "root")).alias("top"))
+    top = stash(top.select("head", F.col("top.root").alias("top")), "tops")
+    return stash(meet(rows, top, "head").select("head", "node", "size", (F.col("root") != F.col("top")).alias("rest")), "rests")
+
+
+def rest_with_all(rows: DataFrame) -> DataFrame:
+    """From ``with_rest``: the rest of each group in blocks, in pairs with each other and with all other blocks."""
+    number = lambda rest: F.ceil(F.greatest(F.sum(F.when(F.col("rest") == rest, 1).otherwise(0)) / BLOCK_SETS, F.sum(F.when(F.col("rest") == rest, F.col("size")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    parts = stash(rows.groupBy("head").agg(number(True).alias("few"), number(False).alias("most")).where("few > 0"), "parts")
+    rows = meet(rows, parts, "head")
+    block = F.when(F.col("rest"), F.pmod(F.xxhash64("node"), "few")).otherwise(F.col("few") + F.pmod(F.xxhash64("node"), F.greatest("most", F.lit(1)))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("rest"), F.col("few") + F.col("most")).otherwise(F.col("few")) - 1)
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(others))
+    return rows.select("head", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "node", "size")
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The sorted rows in tables of equal ``head_hi, head_lo, first, second``."""
     held: list[pa.RecordBatch] = []
@@ -336,29 +378,38 @@ def linked(sets: list[np.ndarray], block: np.ndarray, cross: bool, percent: int)
                 if (total - both) // 2 >= least_overlap(total, percent):
                     join(i, j)
         return forest
-    flat = np.concatenate(apart)
-    row = np.repeat(np.arange(len(sets)), own)
-    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    # the group's own lists, of the shingles that several sets have
+    row = np.repeat(np.arange(len(sets)), size)
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     common = count > 1
-    number = np.cumsum(common) - 1
-    used = common[column]
-    row, column = row[used], number[column[used]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    shared = np.zeros((len(sets), len(sets)), np.float32)
-    for begin in range(0, int(common.sum()), 4096):
-        a, b = np.searchsorted(column, (begin, begin + 4096))
-        part = np.zeros((len(sets), 4096), np.float32)
-        part[row[a:b], column[a:b] - begin] = 1
-        shared += part @ part.T
-    for j in range(1, len(sets)):
-        total = size[:j] + size[j]
-        both = own[:j] + own[j] - 2 * shared[j, :j].astype(np.int64)
-        good = (total - both) // 2 >= least_overlap(total, percent)
+    code = np.where(common, np.cumsum(common) - 1, -1)[code]
+    row, code = row[code >= 0], code[code >= 0]
+    held = np.split(code, np.cumsum(np.bincount(row, minlength=len(sets)))[:-1])
+    entry = row[np.argsort(code, kind="stable")]
+    many = np.bincount(code, minlength=int(common.sum()))
+    start = np.cumsum(many) - many
+
+    def on(codes: np.ndarray) -> np.ndarray:
+        """How many of the lists each set is on."""
+        return np.bincount(entry[spread(start[codes], many[codes])], minlength=len(sets))
+
+    label = np.arange(len(sets))
+    before, answers = np.empty(0, np.int64), np.zeros(len(sets), np.int64)
+    # sorted hashes: sets with the same first ones, as similar sets have, follow one another
+    for k in sorted(range(len(sets)), key=lambda k: tuple(sets[k][:3].tolist())):
+        more, less = np.setdiff1d(held[k], before, assume_unique=True), np.setdiff1d(before, held[k], assume_unique=True)
+        if len(more) + len(less) < len(held[k]):
+            answers = answers + on(more) - on(less)
+        else:  # another kind of set: nothing to derive its overlaps from
+            answers = on(held[k])
+        before = held[k]
+        good = (label != label[k]) & (answers >= least_overlap(size[k] + size, percent))
         if cross:
-            good &= block[:j] != block[j]
+            good &= block != block[k]
         for i in np.flatnonzero(good).tolist():
-            join(i, j)
+            if label[i] != label[k]:
+                forest.append((k, i))
+                label[label == label[i]] = label[k]
     return forest
 
 
@@ -420,6 +471,8 @@ def similarity_components(docs: DataFrame, width: int = 4, percent: int = 85, id
     order = np.argsort(value)
     lists = postings(source.select("_text"), width, percent, (value[order], count[order]))
     members = stash(grouped(lists, percent).distinct(), "members")
+    sizes = sizes_of(members)
+    large = stash(sizes.where("parts > 1"), "large")
 
     first = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_text_hash").alias("hash"))
     sets = full.groupBy("node").agg(F.min(first).alias("winner"), F.count(F.lit(1)).alias("n"), F.min("_text_hash").alias("hash"), F.min("bits").alias("data"))
@@ -427,10 +480,12 @@ def similarity_components(docs: DataFrame, width: int = 4, percent: int = 85, id
     wanted = members.select("node").distinct()
     # written, so that the joins below have exchanges of their own, which can be split where a set is in many groups
     bits = stash(sets.join(wanted, "node", "left_semi").select("node", "data"), "bits")
-    near = stash(hopeful(blocked(members, bits), percent).distinct(), "near")
+    near = stash(hopeful(gathered(whole_groups(members, sizes), bits), percent).distinct(), "near")
+    crowds = None if large.isEmpty() else stash(semi(members, large.select("head"), "head"), "crowds")
 
-    hashes = small(stash(near.select("node").distinct().join(sets, "node").select(F.col("hash").alias("_text_hash")), "hashes"))
-    texts = source.join(hashes, "_text_hash", "left_semi").select("_text")
+    needed = near.select("node") if crowds is None else near.select("node").unionByName(crowds.select("node"))
+    hashes = stash(needed.distinct().join(sets, "node").select(F.col("hash").alias("_text_hash")), "hashes")
+    texts = semi(source, hashes, "_text_hash").select("_text")
 
     def whole(groups) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()
@@ -448,15 +503,22 @@ def similarity_components(docs: DataFrame, width: int = 4, percent: int = 85, id
 
     data = _scan(texts, width, "hi long, lo long, data binary", whole).select(F.struct("hi", "lo").alias("node"), "data")
     data = stash(data.groupBy("node").agg(F.min("data").alias("data")), "shingles")
-    edges = links(blocked(near, data), percent)
-    roots = components(edges)
+    edges = links(gathered(whole_groups(near, sizes_of(near)), data), percent)
+    if crowds is None:
+        roots = components(edges)
+    else:
+        edges = stash(edges.unionByName(links(gathered(at_random(crowds, large), data), percent)), "links")
+        apart = with_rest(crowds, components(edges))
+        left = stash(hopeful(gathered(rest_with_all(apart), bits), percent).distinct(), "left")
+        left = apart.join(left.select("head", "node"), ["head", "node"], "left_semi")
+        roots = components(edges.unionByName(links(gathered(rest_with_all(stash(left, "left")), data), percent)))
 
     whole_of = roots.join(sets, "node").groupBy("root").agg(F.min("winner").alias("best"))
     joined = roots.join(whole_of, "root").select("node", "best")
     told = sets.join(joined, "node", "left").where("n > 1 or best is not null").select("node", F.least("winner", F.coalesce("best", "winner")).alias("winner"))
-    told = small(stash(told, "told"))
+    told = stash(told, "told")
     alone = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_text_hash").alias("hash"))
-    out = rows.select("_id", "_text_hash", "size", "node").join(told, "node", "left")
+    out = lookup(rows.select("_id", "_text_hash", "size", "node"), told, "node")
     best = F.when(F.col("size") > 0, F.coalesce("winner", alone)).otherwise(alone)
     return out.select("_id", "_text_hash", "size", best["id"].alias("component_id"), best.alias("winner"))
 
@@ -473,7 +535,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
     so do all rows that repeat the id and text of one that stays."""
     told = similarity_components(docs, width, percent, id_col, text_col)
     own = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_text_hash").alias("hash"))
-    gone = told.where((F.col("size") > 0) & (F.col("winner") != own)).select(F.col("_id").alias("__join_id"), F.col("_text_hash").alias("__join_hash")).distinct()
-    gone = small(stash(gone, "gone"))
-    key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__join_id")) & (key == F.col("__join_hash")), "left_anti")
+    gone = told.where((F.col("size") > 0) & (F.col("winner") != own))
+    gone = stash(gone.select(row_key(F.col("_id"), F.hex("_text_hash")).alias("__join_key")).distinct(), "gone")
+    key = row_key(F.col(id_col), F.upper(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    return anti(docs.withColumn("__join_key", key), gone, "__join_key").drop("__join_key")
