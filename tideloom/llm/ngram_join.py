@@ -507,7 +507,11 @@ def similarity_components(docs: DataFrame, width: int = 4, percent: int = 85, id
     if crowds is None:
         roots = components(edges)
     else:
-        edges = stash(edges.unionByName(links(gathered(at_random(crowds, large), data), percent)), "links")
+        # on bitmaps first, as most of a group may be without partners
+        likely = stash(hopeful(gathered(at_random(crowds, large), bits), percent).distinct(), "likely")
+        parts = sizes_of(likely)
+        dealt = whole_groups(likely, parts).unionByName(at_random(likely, parts.where("parts > 1")))
+        edges = stash(edges.unionByName(links(gathered(dealt, data), percent)), "links")
         apart = with_rest(crowds, components(edges))
         left = stash(hopeful(gathered(rest_with_all(apart), bits), percent).distinct(), "left")
         left = apart.join(left.select("head", "node"), ["head", "node"], "left_semi")
