@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -230,29 +231,61 @@ def test_private_keys_are_told_apart_by_their_bodies(spark):
 
 
 def licenses_brute(text, threshold=0.8):
-    lines = (text or "").split("\n")
+    """Every run of words from anywhere to anywhere, of a size that is allowed."""
+    words = licenses.words_of(text or "")
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
     found = []
-    for unit in lines + [text] * (len(lines) > 1):
-        own = licenses.bigrams_of(unit)
-        scores = [(2 * len(own & g) / (len(own) + len(g)), -k, name) for k, (name, t) in enumerate(licenses.TEMPLATES) if own and (g := licenses.bigrams_of(t))]
-        found += [max(s for s in scores if s[0] >= threshold)] if any(s[0] >= threshold for s in scores) else []
+    for k, (name, t) in enumerate(licenses.TEMPLATES):
+        grams = licenses.bigrams_of(t)
+        top, least = 0.0, min(len(grams), len(pairs))
+        for i in range(len(pairs)):
+            held = set()
+            for j in range(i, min(len(pairs), i + int(1.5 * len(grams)) + 1)):
+                if pairs[j] in grams:
+                    held.add(pairs[j])
+                if j - i + 1 >= least or pairs[j] in held:  # shorter runs count as if they had the least size
+                    top = max(top, 2 * len(held) / (max(j - i + 1, least) + len(grams)))
+        if top >= threshold:
+            found.append((top, -k, name))
     top = max(found, default=None)
     return (top[2] if top else None, top[0] if top else 0.0, len(found), ",".join(sorted({f[2] for f in found})))
 
 
 def test_licenses(spark):
     rnd = random.Random(7)
-    data = [(1, None), (2, ""), (None, "\n"), (3, "word " * 40_000)]
-    for k, (_, t) in enumerate(licenses.TEMPLATES * 6):
-        words = t.split()
-        for _ in range(rnd.randrange(0, 5)):
-            words[rnd.randrange(len(words))] = rnd.choice(["the", "License", "x", words[0].upper()])
-        data.append((10 + k, rnd.choice(["", "Intro line.\n", "a b\n\n"]) + " ".join(words) + rnd.choice(["", "\nMore text", "\n" + t])))
+    data = [(1, None), (2, ""), (None, "\n"), (3, "word " * 40_000), (4, "License"), (5, "under the MIT License")]
+    for k, (_, t) in enumerate(licenses.TEMPLATES):
+        for more in range(2):
+            words = t.split()
+            for _ in range(rnd.randrange(0, 1 + len(words) // 6)):
+                words[rnd.randrange(len(words))] = rnd.choice(["the", "License", "x", words[0].upper()])
+            body = " ".join(words) if rnd.random() < 0.5 else "\n".join(" * " + " ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+            data.append((10 + 2 * k + more, rnd.choice(["", "Intro line. ", "a b\n\n"]) + body + rnd.choice(["", "\nMore text", "\nthe software is " + t[: len(t) // 2]])))
     docs = frame(spark, [(*r, 0.5) for r in data + data[:6]], "doc_id long, text string, dice double")
     assert rows(licenses.scan_licenses(docs)) == sorted(((i, *licenses_brute(t)) for i, t in data + data[:6]), key=repr)
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_licenses_where_they_usually_stand(spark):
+    """Full texts and headers, wrapped, behind comment marks, in long files and within lines; and nothing else."""
+    rnd = random.Random(9)
+    code = "\n".join(f"    result_{k} = compute({rnd.randrange(99)}, value[{k}]) + the_{rnd.randrange(9)};" for k in range(200))
+    prose = " ".join(rnd.choice(["the", "software", "is", "of", "any", "kind", "notice", "without", "copyright", "in", "all", "copies", "shall", "be", "and", "house"]) for _ in range(3000))
+    full = {name: max((t for n, t in licenses.TEMPLATES if n == name), key=len) for name in ("MIT", "BSD-3-Clause", "BSD-2-Clause", "Apache-2.0", "GPL-3.0", "ISC", "Zlib")}
+    full |= {"CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."}
+    wrap = lambda t, n, mark: "\n".join(mark + line for line in textwrap.wrap(t, n, break_on_hyphens=False))
+    data, expected = [(0, prose), (1, code)], {0: None, 1: None}
+    for name, t in full.items():
+        forms = [t, wrap(t, 80, ""), f"Copyright (c) 2020 Some Body\n\n{wrap(t, 76, ' * ')}\n{code}", f"{code}\n{wrap(t, 70, '// ')}\n{code}", f"{prose} {t} {prose}", wrap(t.upper(), 60, "# "), t.replace("COPYRIGHT HOLDERS", "REGENTS")]
+        for form in forms:
+            expected[len(data)] = name
+            data.append((len(data), form))
+    out = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, data)).collect()}
+    assert {k: r.license for k, r in out.items()} == expected
+    long = prose * 60 + full["MIT"]  # of more than a million characters
+    assert len(long) > 10**6 and licenses.scan_licenses(frame(spark, [(1, long)])).first().license == "MIT"
+
+
 def test_telling_words_are_in_every_match():
     for _, t in licenses.TEMPLATES:
         grams = sorted(licenses.bigrams_of(t))

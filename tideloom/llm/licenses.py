@@ -1,30 +1,20 @@
-"""Licence scans: normalised text compared to licence templates by the Dice coefficient over word bigrams."""
+"""Licence scans: normalised text compared to licence templates by the Dice coefficient over word bigrams.
+
+A licence stands somewhere in a text: alone, within a line, or wrapped over many lines of a file, behind comment marks.
+So a template is compared with runs of words, wherever they begin.  Words are cut from the whole text, without regard
+to lines, and what is not a letter or digit (comment marks, quotes, borders of boxes) only separates them.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Identifier and text of licence notices.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-]
+from .license_texts import TEMPLATES
+
+#: Words: runs of ASCII letters and digits, with dots and hyphens between them.
+WORDS = r"[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?"
 
 
 def words_of(text: str) -> list[str]:
@@ -40,7 +30,7 @@ def bigrams_of(text: str) -> set[str]:
 
 def words_column(text: Column) -> Column:
     """The same as ``words_of`` in Spark."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
 
 
 def telling_words(grams: list[str], threshold: float) -> list[str]:
@@ -59,47 +49,69 @@ def telling_words(grams: list[str], threshold: float) -> list[str]:
     return chosen
 
 
+def bounds(size: int, threshold: float) -> tuple[float, int]:
+    """How many more bigrams than ``size`` a run may have (a factor), and how many of them that is at most."""
+    high = (2 - threshold) / threshold + 1e-9
+    return high, int(size * high)
+
+
 def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``license`` (of the best match; ties go to the template listed first),
-    ``dice`` of that match, ``n_matches`` units that match a template, ``licenses`` (all found, sorted, comma-joined).
+    ``dice`` of that match, ``n_matches`` templates that match, ``licenses`` (all found, sorted, comma-joined).
 
-    Every line of a text is a unit, and so is the whole text.  A unit matches if its set of word bigrams and that of a
-    template have a Dice coefficient 2|A∩B| / (|A|+|B|) of at least ``threshold``.  A template is compared only if the
-    sizes allow that: t / (2-t) <= |A| / |B| <= (2-t) / t.  Of texts and lines without any of the templates' telling
-    words no words are cut at all.  Null and empty texts match nothing (null ``license``, ``dice`` 0); null and repeated ids keep
-    their rows; an empty table gives an empty result; other columns are not read.  All work is within the row.
-    """
-    grams = [(name, sorted(bigrams_of(text))) for name, text in templates]
-    grams = [(name, g) for name, g in grams if g]
-    # the bounds of sizes; a little wider, as they are rounded
-    low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
-    hints = sorted({w for _, g in grams for w in telling_words(g, threshold)})
-    known = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(n).alias("name"), F.array(*map(F.lit, g)).alias("grams"), F.lit(len(g)).alias("size")) for i, (n, g) in enumerate(grams)])
-
-    def matches(unit: Column) -> Column:
-        words = words_column(unit)
-        pairs = F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
-
-        def best(p: Column) -> Column:
-            fits = F.filter(known, lambda t: (F.size(p) >= t["size"] * F.lit(low)) & (F.size(p) <= t["size"] * F.lit(high)))
-            scored = F.transform(
-                fits,
-                lambda t: F.struct((2 * F.size(F.array_intersect(p, t["grams"])) / (F.size(p) + t["size"])).alias("dice"), (-t["rank"]).alias("order"), t["name"].alias("name")),
-            )
-            return F.array_max(F.filter(scored, lambda s: s["dice"] >= threshold))
+    A run is any number of consecutive words, at least as many as the template has distinct bigrams (or the whole text, if
+    that has fewer).  A template matches if a run has a Dice coefficient with it of ``threshold``: twice the distinct
+    bigrams of the template that are in the run, by the number of the template's and of the run's bigrams; in a run,
+    repeated ones count each time.  The sizes bound which runs are tried: those beyond (2-t)/t times the template's size
+    can't match, nor can those without a word of which every match has one (``telling_words``), nor runs with too few of
+    its bigrams so near to each other.  It is enough to try runs from one of its bigrams to another.
 
+    Null and empty texts match nothing (null ``license``, ``dice`` 0); null and repeated ids keep their rows; an empty
+    table gives an empty result; other columns are not read.  All work is within the row.
+    """
+    known = []
+    for rank, (name, text) in enumerate(templates):
+        if grams := sorted(bigrams_of(text)):
+            known.append(F.struct(F.lit(rank).alias("rank"), F.lit(name).alias("name"), F.array(*map(F.lit, grams)).alias("grams"), F.lit(len(grams)).alias("size"), F.lit(bounds(len(grams), threshold)[1]).alias("most"), F.array(*map(F.lit, telling_words(grams, threshold))).alias("hints")))
+    hints = sorted({w for _, text in templates if (g := sorted(bigrams_of(text))) for w in telling_words(g, threshold)})
+
+    rows = docs.select(F.col(id_col).alias("_id"), words_column(F.coalesce(F.col(text_col), F.lit(""))).alias("_words"))
+    rows = rows.withColumn("_told", F.array_intersect("_words", F.array(*map(F.lit, hints))))
+    rows = rows.withColumn("_known", F.when(F.size("_told") > 0, F.filter(F.array(*known), lambda t: F.arrays_overlap(t["hints"], F.col("_told")))))
+    pairs = F.zip_with(F.slice("_words", 1, F.greatest(F.size("_words") - 1, F.lit(0))), F.slice("_words", 2, F.greatest(F.size("_words") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    rows = rows.withColumn("_pairs", F.when(F.size("_known") > 0, pairs))
+    number = F.size("_pairs")
+
+    def best(t: Column, places: Column) -> Column:
+        """The largest coefficient of runs from one of the ``places`` to another."""
+        least = F.least(t["size"], number)
+        needed = F.ceil(F.lit(threshold) * (least + t["size"]) / 2 - 1e-9).cast("int")
+        dense = F.filter(F.sequence(F.lit(1), F.size(places)), lambda k: F.coalesce(F.get(places, k + needed - 2) - F.get(places, k - 1) < t["most"], F.lit(False)))
+
+        def run(k: Column) -> Column:
+            near = F.filter(F.slice(places, k, t["most"]), lambda p: p - F.get(places, k - 1) < t["most"])
+            return F.transform(F.array(F.struct(near.alias("near"), F.transform(near, lambda p: F.get(F.col("_pairs"), p)).alias("grams"))), scores)[0]
+
+        def scores(r: Column) -> Column:
+            first = F.transform(r["grams"], lambda g, e: F.struct(F.get(r["near"], e).alias("at"), (F.array_position(r["grams"], g) == e + 1).alias("new")))
+            start = F.struct(F.lit(0).alias("both"), F.lit(0.0).alias("top"))
+
+            def step(acc: Column, x: Column) -> Column:
+                both = acc["both"] + x["new"].cast("int")
+                return F.struct(both.alias("both"), F.greatest(acc["top"], 2 * both / (F.greatest(x["at"] - F.get(r["near"], F.lit(0)) + 1, least) + t["size"])).alias("top"))
+
+            return F.aggregate(first, start, step)["top"]
+
+        return F.array_max(F.transform(dense, run))
+
+    def match(t: Column) -> Column:
+        places = F.filter(F.transform(F.col("_pairs"), lambda g, i: F.when(F.array_contains(t["grams"], g), i)), lambda i: i.isNotNull())
         # one-element transforms bind a value to a name, so that it is worked out once
-        return F.transform(F.array(pairs), best)[0]
-
-    def may_match(unit: Column) -> Column:
-        return reduce(Column.__or__, [F.contains(F.lower(unit), F.lit(w)) for w in hints])
+        top = F.transform(F.array(places), lambda p: F.when(F.size(p) > 0, best(t, p)))[0]
+        return F.struct(top.alias("dice"), (-t["rank"]).alias("order"), t["name"].alias("name"))
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.split(text, "\n", -1)
-    units = F.when(F.size(lines) > 1, F.concat(lines, F.array(text))).otherwise(lines)
-    found = F.filter(F.transform(F.filter(units, may_match), matches), lambda m: m.isNotNull())
-    found = F.when(may_match(text), found).otherwise(F.filter(F.transform(F.array(F.lit("")), matches), lambda m: F.lit(False)))
-    rows = docs.select(F.col(id_col).alias("_id"), found.alias("_found"))
+    found = F.filter(F.transform("_known", match), lambda m: m["dice"] >= threshold)
+    rows = rows.select("_id", F.coalesce(F.when(number > 0, found), F.array().cast("array<struct<dice:double,order:int,name:string>>")).alias("_found"))
     top = F.array_max("_found")
     return rows.select(
         F.col("_id").alias(id_col),

@@ -56,21 +56,24 @@ def ngram_join_sql(width: int = 4, percent: int = 85) -> str:
 
 
 def license_sql(threshold: float = 0.8) -> str:
+    """All runs between two of a template's bigrams, by joins of their places."""
     values = ", ".join(f"({k}, {quoted(name)}, {quoted(text)})" for k, (name, text) in enumerate(licenses.TEMPLATES))
-    grams = lambda text: (
-        f"list_distinct(list_transform(range(1, len(regexp_extract_all(lower({text}), '[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?'))), "
-        f"lambda i: regexp_extract_all(lower({text}), '[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?')[i] || ' ' || regexp_extract_all(lower({text}), '[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?')[i + 1]))"
-    )
+    words = lambda text: f"regexp_extract_all(lower({text}), '{licenses.WORDS}')"
     return f"""
-    WITH t AS (SELECT k, name, {grams('text')} AS g FROM (VALUES {values}) AS v(k, name, text)),
-    words AS (SELECT DISTINCT unnest(g) AS g FROM t),
-    d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-    u AS (SELECT r, unnest(CASE WHEN contains(text, chr(10)) THEN list_append(string_split(text, chr(10)), text) ELSE [text] END) AS unit, unnest(range(1, 2 + len(string_split(text, chr(10))))) AS k FROM d),
-    b AS (SELECT r, k, regexp_extract_all(lower(unit), '[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?') AS w FROM u WHERE unit IS NOT NULL),
-    g AS (SELECT r, k, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM b WHERE len(w) > 1),
-    m AS (SELECT g.r, g.k, t.k AS rank, t.name, 2.0 * len(list_intersect(g.g, t.g)) / (len(g.g) + len(t.g)) AS dice FROM g JOIN t ON list_has_any(g.g, t.g)),
-    best AS (SELECT r, k, max({{'dice': dice, 'order': -rank, 'name': name}}) AS m FROM m WHERE dice >= {threshold} GROUP BY r, k),
-    f AS (SELECT r, max(m) AS top, count(*) AS n, string_agg(DISTINCT m.name, ',' ORDER BY m.name) AS names FROM best GROUP BY r)
+    WITH v AS (SELECT k, name, {words('text')} AS w FROM (VALUES {values}) AS v(k, name, text)),
+    t AS (SELECT k, name, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM v),
+    tg AS (SELECT k, name, len(g) AS size, unnest(g) AS gram FROM t),
+    d AS (SELECT row_number() OVER () AS r, doc_id, {words("coalesce(text, '')")} AS w FROM documents),
+    p AS (SELECT r, len(w) - 1 AS n, unnest(range(1, len(w))) AS at, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM d WHERE len(w) > 1),
+    m AS MATERIALIZED (SELECT r, n, at, p.gram, k, name, size FROM p JOIN tg ON tg.gram = p.gram),
+    enough AS (SELECT r, k FROM m GROUP BY r, k, n, size HAVING 2 * count(DISTINCT gram) >= {threshold} * (least(n, size) + size) - 1e-9),
+    s AS MATERIALIZED (SELECT m.* FROM m SEMI JOIN enough USING (r, k)),
+    u AS (SELECT a.r, a.k, any_value(a.name) AS name, any_value(a.size) AS size, any_value(a.n) AS n, list(b.at ORDER BY b.at) AS at, list(b.gram ORDER BY b.at) AS g
+        FROM s a JOIN s b ON a.r = b.r AND a.k = b.k AND b.at >= a.at AND b.at - a.at < a.size * (2 - {threshold}) / {threshold} GROUP BY a.r, a.k, a.at),
+    c AS (SELECT r, k, name, list_max(list_transform(range(1, len(g) + 1), lambda e: 2.0 * len(list_distinct(g[1:e])) / (greatest(at[e] - at[1] + 1, least(n, size)) + size))) AS dice
+        FROM u WHERE 2 * len(g) >= {threshold} * (least(n, size) + size) - 1e-9),
+    best AS (SELECT r, k, name, max(dice) AS dice FROM c WHERE dice >= {threshold} GROUP BY r, k, name),
+    f AS (SELECT r, max({{'dice': dice, 'order': -k, 'name': name}}) AS top, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM best GROUP BY r)
     SELECT d.doc_id, f.top.name AS license, CAST(coalesce(f.top.dice, 0.0) AS DOUBLE) AS dice, coalesce(f.n, 0) AS n_matches, coalesce(f.names, '') AS licenses FROM d LEFT JOIN f ON f.r = d.r"""
 
 
