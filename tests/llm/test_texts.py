@@ -282,7 +282,7 @@ def test_licenses_where_they_usually_stand(spark):
             data.append((len(data), form))
     out = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, data)).collect()}
     assert {k: r.license for k, r in out.items()} == expected
-    long = prose * 60 + full["MIT"]  # of more than a million characters
+    long = prose * 70 + full["MIT"]  # of more than a million characters
     assert len(long) > 10**6 and licenses.scan_licenses(frame(spark, [(1, long)])).first().license == "MIT"
 
 

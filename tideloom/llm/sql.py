@@ -64,13 +64,13 @@ def license_sql(threshold: float = 0.8) -> str:
     t AS (SELECT k, name, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM v),
     tg AS (SELECT k, name, len(g) AS size, unnest(g) AS gram FROM t),
     d AS (SELECT row_number() OVER () AS r, doc_id, {words("coalesce(text, '')")} AS w FROM documents),
-    p AS (SELECT r, len(w) - 1 AS n, unnest(range(1, len(w))) AS at, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM d WHERE len(w) > 1),
-    m AS MATERIALIZED (SELECT r, n, at, p.gram, k, name, size FROM p JOIN tg ON tg.gram = p.gram),
+    p AS (SELECT r, len(w) - 1 AS n, unnest(range(1, len(w))) AS pos, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM d WHERE len(w) > 1),
+    m AS MATERIALIZED (SELECT r, n, pos, p.gram, k, name, size FROM p JOIN tg ON tg.gram = p.gram),
     enough AS (SELECT r, k FROM m GROUP BY r, k, n, size HAVING 2 * count(DISTINCT gram) >= {threshold} * (least(n, size) + size) - 1e-9),
     s AS MATERIALIZED (SELECT m.* FROM m SEMI JOIN enough USING (r, k)),
-    u AS (SELECT a.r, a.k, any_value(a.name) AS name, any_value(a.size) AS size, any_value(a.n) AS n, list(b.at ORDER BY b.at) AS at, list(b.gram ORDER BY b.at) AS g
-        FROM s a JOIN s b ON a.r = b.r AND a.k = b.k AND b.at >= a.at AND b.at - a.at < a.size * (2 - {threshold}) / {threshold} GROUP BY a.r, a.k, a.at),
-    c AS (SELECT r, k, name, list_max(list_transform(range(1, len(g) + 1), lambda e: 2.0 * len(list_distinct(g[1:e])) / (greatest(at[e] - at[1] + 1, least(n, size)) + size))) AS dice
+    u AS (SELECT a.r, a.k, any_value(a.name) AS name, any_value(a.size) AS size, any_value(a.n) AS n, list(b.pos ORDER BY b.pos) AS pos, list(b.gram ORDER BY b.pos) AS g
+        FROM s a JOIN s b ON a.r = b.r AND a.k = b.k AND b.pos >= a.pos AND b.pos - a.pos < a.size * (2 - {threshold}) / {threshold} GROUP BY a.r, a.k, a.pos),
+    c AS (SELECT r, k, name, list_max(list_transform(range(1, len(g) + 1), lambda e: 2.0 * len(list_distinct(g[1:e])) / (greatest(pos[e] - pos[1] + 1, least(n, size)) + size))) AS dice
         FROM u WHERE 2 * len(g) >= {threshold} * (least(n, size) + size) - 1e-9),
     best AS (SELECT r, k, name, max(dice) AS dice FROM c WHERE dice >= {threshold} GROUP BY r, k, name),
     f AS (SELECT r, max({{'dice': dice, 'order': -k, 'name': name}}) AS top, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM best GROUP BY r)
