@@ -1,36 +1,60 @@
+import itertools
+import random
+import re
+
 import pytest
 
 from tideloom.functions import intervals
 from tideloom.functions.automata import Dfa, compile_path, determinize, minimize, nfa_of
 from tideloom.functions.regex import PathSyntaxError, UnsupportedPath, labels, parse
 
-ACCEPT = [("a", ["a"], ["aa", "aaa", ""]), ("(a/b)*", ["", "ab", "abab"], ["a", "aab", "aba"]), ("a|b", ["a", "b"], ["ab", ""]), ("(a|b)*", ["a", "b", "abba", ""], []), ("a/b*/c+", ["ac", "abbc", "acc"], ["ab", "bc", "a"]), ("(a|b/c)+|c", ["a", "bc", "abca", "c"], ["b", "cc", ""])]
-
-
-@pytest.mark.parametrize(("text", "good", "bad"), ACCEPT)
-def test_automata_accept(text, good, bad):
-    nfa = nfa_of(parse(text))
-    for machine in (nfa, determinize(nfa), minimize(determinize(nfa))):
-        known = machine.alphabet()
-        for word in good:
-            assert machine.accepts(word)
-        for word in bad:
-            if set(word) <= known:
-                assert not machine.accepts(word)
-
-
-@pytest.mark.parametrize(("text", "states"), [("a*", 1), ("a+", 2), ("a/b*", 2), ("a/b*/c*", 3), ("(a/b/c)+", 4), ("(a|b)*", 1)])
-def test_minimal_sizes(text, states):
-    assert len(compile_path(text).states()) == states
-    assert len(compile_path(text).states()) <= len(determinize(nfa_of(parse(text))).states())
-
-
-def test_hand_built_dfa():
-    dfa = Dfa({2})
-    for move in ((0, "a", 1), (1, "b", 2), (2, "a", 1)):
-        dfa.add(*move)
-    assert dfa.accepts("ab") and dfa.accepts("abab")
-    assert not any(dfa.accepts(w) for w in ("", "a", "aab", "aba"))
+LETTERS = "abc"
+
+
+def drawn(rnd, depth):
+    """A random path expression, and the same as a regular expression of the standard library."""
+    if depth == 0 or rnd.random() < 0.2:
+        c = rnd.choice(LETTERS)
+        return c, c
+    (p, x), (q, y) = drawn(rnd, depth - 1), drawn(rnd, depth - 1)
+    return rnd.choice([(f"({p})/({q})", f"(?:{x})(?:{y})"), (f"({p})|({q})", f"(?:{x})|(?:{y})"), (f"({p})*", f"(?:{x})*"), (f"({p})+", f"(?:{x})+")])
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_automata_accept_what_regular_expressions_do(seed):
+    rnd = random.Random(seed)
+    path, pattern = drawn(rnd, 4)
+    nfa = nfa_of(parse(path))
+    known, match = nfa.alphabet(), re.compile(pattern).fullmatch
+    words = ["".join(w) for n in range(4) for w in itertools.product(sorted(known), repeat=n)]
+    words += ["".join(rnd.choice(sorted(known)) for _ in range(rnd.randrange(4, 9))) for _ in range(60)]
+    wide, small = determinize(nfa), minimize(determinize(nfa))
+    for word in words:
+        assert [m.accepts(word) for m in (nfa, wide, small)] == [bool(match(word))] * 3
+    assert len(small.states()) <= len(wide.states())
+
+
+def test_machines_built_by_hand():
+    """Random tables of moves, against following them one by one."""
+    rnd = random.Random(4)
+    for _ in range(30):
+        moves = {(s, c): rnd.randrange(4) for s in range(4) for c in "xy" if rnd.random() < 0.7}
+        final = {s for s in range(4) if rnd.random() < 0.4}
+        dfa = Dfa(final)
+        for (s, c), t in moves.items():
+            dfa.add(s, c, t)
+        for n in range(7):
+            for word in map("".join, itertools.product(sorted(dfa.alphabet()), repeat=n)):
+                at = 0
+                for c in word:
+                    at = None if at is None else moves.get((at, c))
+                assert dfa.accepts(word) == (at in final)
+
+
+@pytest.mark.parametrize(("left", "right"), [("x*/x", "x+"), ("(x|y)*/(x|y)*", "(x|y)*"), ("(x/y)*/x", "x/(y/x)*"), ("x/z|y/z", "(x|y)/z")])
+def test_equal_languages_have_machines_of_one_size(left, right):
+    one, two = compile_path(left), compile_path(right)
+    assert len(one.states()) == len(two.states()) and len(one.final) == len(two.final)
 
 
 def test_foreign_symbol_is_an_error():
@@ -78,6 +102,15 @@ def test_coalesce_steps(spark):
         assert sorted((r.vs, r.ve) for r in got) == expected
 
 
+def test_coalesce_in_stretches(spark):
+    rnd = random.Random(1)
+    rows = [(k, v, v + rnd.randrange(0, 40)) for k in "ab" for v in (rnd.randrange(-500, 500) for _ in range(300))]
+    df = spark.createDataFrame(rows, "k string, vs long, ve long")
+    whole = sorted(intervals.coalesce(df, ["k"]).collect())
+    for stretch in (1, 7, 100, 5000):
+        assert sorted(intervals.coalesce(df, ["k"], stretch).collect()) == whole
+
+
 def test_expiry(spark):
     rows = sets(spark, [(3, 6), (8, 9), (10, 13), (15, 21)])
     count = lambda t: intervals.expire(rows, t).count()

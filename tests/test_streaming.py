@@ -1,6 +1,8 @@
 import json
 import os
 
+import pytest
+
 from tideloom.plans import evaluate, library, runs
 from tideloom.sources.edges import read_edges, read_edge_stream
 from tideloom.streaming.stream import GraphStream, stream_join
@@ -33,6 +35,12 @@ def test_late_edges_are_counted(spark, tmp_path):
     assert rows(stream.results()) == [(1, 2, 100, 110), (1, 3, 105, 110), (2, 3, 105, 115)]
 
 
+def test_a_lost_state_is_an_error(spark, tmp_path):
+    stream = GraphStream(spark, library.query1("a"), 10, str(tmp_path / "state"), str(tmp_path / "out"))
+    with pytest.raises(LookupError):
+        stream.process(spark.createDataFrame([(2, "a", 3, 50)], EDGES), 3)
+
+
 def write_files(folder):
     os.mkdir(folder)
     for k, part in enumerate((slice(0, 3), slice(3, 6), slice(6, 9))):
@@ -64,5 +72,9 @@ def test_experiments(spark, tmp_path):
     assert [(r.b, r.batch_size, r.total_size) for r in slides.orderBy("idx").collect()] == [(11, 1, 1), (14, 3, 3), (17, 2, 2), (18, 1, 1)]
     row = runs.run_experiment(spark, str(config)).first()
     assert (row.slides, row.batch_size) == (4, 1.75)
+    (peak,) = spark.read.option("header", True).csv(str(tmp_path / "report" / "memory.csv")).collect()
+    assert peak.finished == "true" and float(peak.peak_mb) > 50
+    with pytest.raises(runs.TimedOut):
+        runs.run_slides(read_edges(spark, spec["dataset"]), only, timeout=0)
     header = next((tmp_path / "report").glob("*/batch-size.csv/*.csv")).read_text().splitlines()[0]
     assert header == "timestamp,count,mean,p25,p50,p75,p90,p99,p999"

@@ -18,10 +18,16 @@ def hull(a_vs: Column, a_ve: Column, b_vs: Column, b_ve: Column) -> tuple[Column
     return F.least(a_vs, b_vs), F.greatest(a_ve, b_ve)
 
 
-def coalesce(rows: DataFrame, keys: list[str]) -> DataFrame:
+def coalesce(rows: DataFrame, keys: list[str], stretch: int | None = None) -> DataFrame:
     """The canonical form per key: the fewest intervals that cover the same instants.  Touching intervals merge, empty
-    ones vanish.  Columns other than the keys, ``vs`` and ``ve`` are dropped."""
+    ones vanish.  Columns other than the keys, ``vs`` and ``ve`` are dropped.
+
+    A key's intervals are worked through by one task.  Where a key may have very many, ``stretch`` splits them by when they
+    begin, into times of that length, which are coalesced apart from each other; what is left of them is few.
+    """
     rows = rows.where("vs < ve").select(*keys, "vs", "ve")
+    if stretch:
+        return coalesce(coalesce(rows.withColumn("_stretch", F.floor(F.col("vs") / stretch)), [*keys, "_stretch"]), keys)
     by = Window.partitionBy(*keys).orderBy("vs", "ve")  # one exchange serves the windows and the grouping
     rows = rows.withColumn("_reach", F.max("ve").over(by.rowsBetween(Window.unboundedPreceding, -1)))
     opens = F.when(F.col("_reach").isNull() | (F.col("vs") > F.col("_reach")), 1).otherwise(0)

@@ -9,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
+#: So many boundaries, a long each, are broadcast.
+FEW_BOUNDARIES = 100_000
+
+
 def wscan(edges: DataFrame, window: int) -> DataFrame:
     """Each edge with the interval in which it is valid: ``src, label, trg, vs, ve``, ``[ts, ts + window)``."""
     return edges.select("src", "label", "trg", F.col("ts").alias("vs"), (F.col("ts") + window).alias("ve"))
@@ -59,11 +63,17 @@ def at_boundary(edges: DataFrame, boundary: int, window: int) -> DataFrame:
 def at_boundaries(edges: DataFrame, boundaries: DataFrame, window: int, slide: int) -> DataFrame:
     """``b, src, label, trg`` for all boundaries at once.
 
-    A boundary and an edge meet by equal time buckets of the window's length, of which an edge's interval touches two;
-    so this is an equi-join, and not one of ranges.
+    Boundaries are a slide apart at least, but for the last one, so a time bucket of a slide's length has two of them at
+    most.  An edge is repeated for the buckets that its interval touches, which is as often as it is in a window, and
+    meets boundaries by equal buckets; so this is an equi-join, and not one of ranges.  ``FEW_BOUNDARIES`` are broadcast
+    after a count, so that edges aren't dealt out by a few keys; beyond that keys are many.
     """
-    edges = edges.select("src", "label", "trg", "ts", F.explode(F.array(F.floor(F.col("ts") / window), F.floor(F.col("ts") / window) + 1)).alias("_bucket"))
-    marks = boundaries.select("b", F.floor(F.col("b") / window).alias("_bucket"))
+    slide = max(int(slide), 1)
+    touched = F.sequence(F.floor((F.col("ts") + 1) / slide), F.floor((F.col("ts") + window - 1) / slide))
+    edges = edges.select("src", "label", "trg", "ts").withColumn("_bucket", F.explode(touched))
+    marks = boundaries.select("b", F.floor(F.col("b") / slide).alias("_bucket"))
+    if boundaries.count() <= FEW_BOUNDARIES:
+        marks = F.broadcast(marks)
     rows = edges.join(marks, "_bucket").where((F.col("ts") < F.col("b")) & (F.col("ts") + window > F.col("b")))
     return rows.select("b", "src", "label", "trg").distinct()
 

@@ -88,7 +88,7 @@ def at_boundary(edges: DataFrame, plan: Plan, boundary: int, window: int) -> Dat
 
 def at_boundaries(edges: DataFrame, plan: Plan, window: int, slide: int, start: int | None = None) -> DataFrame:
     """``b, src, trg`` at all slide boundaries, in one go; boundaries are of all edges, whatever their label."""
-    boundaries = w.slide_boundaries(edges, slide, start)
+    boundaries = stash(w.slide_boundaries(edges, slide, start), "boundaries")
     return Evaluation(stash(w.at_boundaries(edges, boundaries, window, slide), "windows"), BOUNDARIES).run(plan)
 
 
@@ -111,5 +111,6 @@ def changes(results: DataFrame, boundaries: DataFrame) -> DataFrame:
 
 def valid_time(edges: DataFrame, plan: Plan, window: int) -> DataFrame:
     """``src, trg, vs, ve``: for every instant what holds then, coalesced."""
-    scanned = coalesce(w.wscan(edges, window), ["src", "label", "trg"])
+    # raw edges of a pair may be very many: in stretches of time first
+    scanned = coalesce(w.wscan(edges, window), ["src", "label", "trg"], stretch=16 * window)
     return Evaluation(scanned, VALID_TIME).run(plan)

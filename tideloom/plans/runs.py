@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import os
+import threading
 import time
 from dataclasses import dataclass
 from typing import Any
@@ -42,9 +45,42 @@ def read_config(path: str) -> tuple[dict[str, Any], list[Run]]:
     return spec, runs
 
 
-def run_slides(edges: DataFrame, run: Run) -> DataFrame:
+class TimedOut(RuntimeError):
+    """A run took longer than it may."""
+
+
+class Memory(threading.Thread):
+    """Samples the resident memory of the driver's JVM while it is entered; ``peak`` in MB (None where it can't be read).
+    Executors of other machines aren't seen."""
+
+    def __init__(self, spark: SparkSession, seconds: float = 5.0):
+        super().__init__(daemon=True)
+        self.path = f"/proc/{spark.sparkContext._jvm.java.lang.ProcessHandle.current().pid()}/statm"
+        self.seconds, self.peak, self.over = seconds, None, threading.Event()
+
+    def sample(self) -> None:
+        with contextlib.suppress(OSError, ValueError, IndexError), open(self.path, encoding="ascii") as f:
+            self.peak = max(self.peak or 0.0, int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 2**20)
+
+    def run(self) -> None:
+        while not self.over.wait(self.seconds):
+            self.sample()
+
+    def __enter__(self) -> Memory:
+        self.sample()
+        self.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.over.set()
+        self.sample()
+
+
+def run_slides(edges: DataFrame, run: Run, timeout: float | None = None) -> DataFrame:
     """Evaluate a run at each of its boundaries in turn, and measure: milliseconds of the slide and since the one before
-    it, matching and all edges that came in since, and results.  The first slide warms up, and isn't among the rows."""
+    it, matching and all edges that came in since, and results.  The first slide warms up, and isn't among the rows.  A
+    run that goes on for more than ``timeout`` seconds is ended after its slide, with ``TimedOut``."""
+    end = None if timeout is None else time.perf_counter() + timeout
     spark, plan = edges.sparkSession, library.named(run.name, run.labels)
     edges = stash(edges, "edges")
     matching = stash(label_filter(edges, run.labels), "matching")
@@ -58,6 +94,8 @@ def run_slides(edges: DataFrame, run: Run) -> DataFrame:
         now = time.perf_counter()
         rows.append((m.idx, m.b, *sizes, results, 1e3 * (now - began), 1e3 * (now - last)))
         before, last = m.b, now
+        if end is not None and now > end and m is not marks[-1]:
+            raise TimedOut(f"{run.name} took more than {timeout} s, up to slide {len(rows)} of {len(marks)}")
     return spark.createDataFrame(rows[1:], SLIDES)
 
 
@@ -104,14 +142,20 @@ def summarize(spark: SparkSession, folders: list[str]) -> DataFrame:
 
 
 def run_experiment(spark: SparkSession, config: str, report: str | None = None) -> DataFrame:
-    """All runs of a configuration, one after the other, with their metrics in the report folder; their summary."""
+    """All runs of a configuration, one after the other, with their metrics in the report folder; their summary.  Runs
+    that exceed the configuration's ``timeout`` have no metrics; ``memory.csv`` tells which, and the peak memory of each."""
     spec, runs = read_config(config)
     folder = report or spec["report-folder"]
     edges = read_edges(spark, spec["dataset"], spec["input-type"])
-    folders = []
+    folders, peaks = [], []
     for run in runs:
-        began = time.perf_counter()
-        slides = run_slides(edges, run)
-        folders.append(f"{folder}/{run.name}-{run.window}-{run.slide}-{run.index}")
-        write_metrics(slides, folders[-1], time.perf_counter() - began)
+        name = f"{run.name}-{run.window}-{run.slide}-{run.index}"
+        began, slides = time.perf_counter(), None
+        with Memory(spark) as memory, contextlib.suppress(TimedOut):
+            slides = run_slides(edges, run, spec.get("timeout"))
+        peaks.append((name, slides is not None, memory.peak))
+        if slides is not None:
+            folders.append(f"{folder}/{name}")
+            write_metrics(slides, folders[-1], time.perf_counter() - began)
+    spark.createDataFrame(peaks, "run string, finished boolean, peak_mb double").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/memory.csv")
     return summarize(spark, folders)

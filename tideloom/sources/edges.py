@@ -34,14 +34,21 @@ def read_edges(spark: SparkSession, path: str, kind: str = "it") -> DataFrame:
     """Edges of a text file: ``src label trg [ts]`` by white space; further fields are ignored, shorter lines skipped.
 
     Without timestamps lines count as 1, 2, 3, ... in the order of the file; that order is Spark's order of the input
-    splits, so numbering takes one pass over the sizes of the partitions and no shuffle.
+    splits, so numbering takes one pass that counts the lines of each split, and no shuffle.
     """
     spec = KINDS[kind]
     rows = _fields(spark.read.text(path), spec)
     if spec.timed:
         return rows
-    schema = rows.schema.add("ts", "long", False)
-    return spark.createDataFrame(rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), schema)
+    sizes = dict(rows.groupBy(F.spark_partition_id().alias("split")).count().collect())  # a row for each split
+    first, offsets = 1, []
+    for split in sorted(sizes):
+        offsets.append((split, first))
+        first += sizes[split]
+    offsets = spark.createDataFrame(offsets, "_split int, _first long")
+    place = F.monotonically_increasing_id().bitwiseAND(2**33 - 1)
+    rows = rows.withColumns({"_split": F.spark_partition_id(), "_place": place}).join(F.broadcast(offsets), "_split")
+    return rows.withColumn("ts", F.col("_first") + F.col("_place")).drop("_split", "_place", "_first")
 
 
 def read_edge_stream(spark: SparkSession, path: str, kind: str = "it", files_per_batch: int | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,10 +14,13 @@ _local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, as in tests, a new local one."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset and all runs in one process, as in tests, a new local
+    one.  Executors elsewhere would each write to a disk of their own, so without the setting that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", master := spark.sparkContext.master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="tideloom-"))
         atexit.register(shutil.rmtree, _local[0], True)

@@ -87,6 +87,8 @@ class GraphStream:
         if (done := self.note(batch)) is not None:
             return done
         before = self.note(batch - 1) if batch else None
+        if batch and before is None:
+            raise LookupError(f"{self.state}: batch {batch} came, but what batch {batch - 1} left isn't there")
         old = before.watermark if before else None
         edges = stash(edges.select("src", "label", "trg", "ts"), "batch")
         late = edges.where(F.col("ts") < old).count() if before else 0
