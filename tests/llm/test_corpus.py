@@ -402,3 +402,31 @@ def test_pipeline(spark, tmp_path):
     assert {1000, 1001} <= set(leaks)
     assert set(mixed) <= set(leaks)
     assert rows(corpus_pipeline.run(spark, str(tmp_path))) == rows(docs)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null ids, repeated rows, nulls in any column, very long texts, ties, and columns whose names operators use."""
+    rnd = random.Random(3)
+    prose = lambda n: " ".join("".join(rnd.choice(["an", "the", "or", "in", "es"]) for _ in range(3)) for _ in range(n))
+    item, twice, long = prose(40), prose(30), prose(60_000)
+    texts = [(1, twice), (1, twice), (2, twice + "\nand " + prose(12)), (None, prose(20)), (None, None), (None, ""), (3, None), (4, long), (5, "x" * 300_000), (6, prose(25) + " " + item), (7, " \n\t"), (8, "short"), (9, "short")]
+    more = "_id string, _key int, _text string, node long, size int, __hash int, source string, lang string, n_chars long"
+    data = [(i, t, "x", k % 2, None, k, 1, 2, None if k % 3 else "s", None, None if t is None else len(t)) for k, (i, t) in enumerate(texts)]
+    schema = f"doc_id long, text string, {more}"
+    frame(spark, [(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    frame(spark, [(k, 1, None if k % 2 else k % 3 == 0) for k in range(6)], "doc_id long, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int")).write.parquet(str(tmp_path / "labels.parquet"))
+    for rows_ in (data, []):
+        docs = frame(spark, rows_, schema)
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == [c.split()[0] for c in schema.split(", ")] + ["copy"] * (k == 4)
+            path = str(tmp_path / f"{name}-{len(rows_)}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+            held = Counter((r.doc_id, r.text and r.text[:9]) for r in docs.collect())
+            if not rows_:
+                assert not held
+            elif k < 4:
+                assert held[None, None] == held[None, ""] == held[3, None] == 1 and held[7, " \n\t"] == 1 and held[4, long[:9]] == 1
+                assert sum(n for (i, _), n in held.items() if i == 1) == 2 and held[8, "short"] == 1
+                assert held[9, "short"] == (1 if k == 0 else 0) and held[6, data[9][1][:9]] == (k < 3)
