@@ -4,6 +4,7 @@ import os
 import pytest
 
 from tideloom.plans import evaluate, library, runs
+from tideloom.plans.algebra import Join, NotLoop, Path, Scan, Union
 from tideloom.sources.edges import read_edges, read_edge_stream
 from tideloom.streaming.stream import GraphStream, stream_join
 
@@ -16,8 +17,8 @@ def feed(stream, spark, raw, size):
 
 def test_epochs_add_up_to_the_batch_result(spark, tmp_path):
     raw = random_edges(11, edges=40)
-    for name, labels in (("query2", ["a", "b"]), ("query6", ["a", "b", "c"])):
-        plan = library.named(name, labels)
+    mixed = Join(Union(Scan("a"), Path("b*|c+")), NotLoop(Path("a/b|c")), "TT", "SS")
+    for name, plan in (("query2", library.query2("a", "b")), ("mixed", mixed)):
         stream = GraphStream(spark, plan, 15, str(tmp_path / name / "state"), str(tmp_path / name / "out"))
         epochs = feed(stream, spark, raw, 14)
         assert sum(e.edges for e in epochs) == len(raw) and not any(e.late for e in epochs)

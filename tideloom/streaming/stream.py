@@ -6,6 +6,7 @@ intervals; coalesced, all of them together are what the batch evaluation for all
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
@@ -14,11 +15,10 @@ from pyspark.sql.streaming import DataStreamWriter
 from ..functions.automata import compile_path
 from ..functions.intervals import coalesce
 from ..functions.regex import labels, parse
-from ..operators.join import SELECTORS
+from ..operators.join import SELECTORS, endpoint_join, pair_join
 from ..operators.path import product_edges
 from ..operators.window import wscan
-from ..plans.algebra import Path, Plan, Scan, children
-from ..plans.evaluate import VALID_TIME, Evaluation
+from ..plans.algebra import Join, NotLoop, PairJoin, Path, Plan, Scan, Union, children
 from ..storage import exists, new_path, remove, stash, table, written
 
 
@@ -40,6 +40,135 @@ def stream_join(left: DataFrame, right: DataFrame, key: str, output: str, window
     return rows.select(F.col(f"l_{x}").alias("src"), F.col(f"r_{y}").alias("trg"), F.greatest("l_ts", "r_ts").alias("vs"), (F.least("l_ts", "r_ts") + window).alias("ve"))
 
 
+def uncovered(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` in canonical form, without those whose interval lies in one of ``known`` of their keys."""
+    n, s = coalesce(rows, keys).alias("n"), known.alias("s")
+    on = (F.col("s.vs") <= F.col("n.vs")) & (F.col("s.ve") >= F.col("n.ve"))
+    for c in keys:
+        on = on & (F.col(f"n.{c}") == F.col(f"s.{c}"))
+    return n.join(s, on, "left_anti")
+
+
+class Increment:
+    """What a batch of edges adds to each part of a plan.
+
+    A join adds what new rows of its left give with all rows of its right, and what new rows of its right give with the
+    rows that its left held before.  A path expression is extended by its new edges, from the walks that reach them; they
+    are edges of the batch, or what the plans of its names add.  What has been found stays, with its own interval, so
+    nothing is derived again when edges expire.  What is covered by earlier rows is left out at each part.
+
+    The state of a part is what it has found, as far as that is valid after the watermark: rows of the sides of joins
+    and of derived parts, walks and edges of path expressions.  It is read from the folder ``last`` and written to
+    ``here``, under the part's number in the plan.
+    """
+
+    def __init__(self, edges: DataFrame, plan: Plan, here: str, last: str | None, old: int | None, mark: int):
+        self.edges, self.plan, self.here, self.last, self.old, self.mark = edges, plan, here, last, old, mark
+        self.spark = edges.sparkSession
+        self.number: dict[Plan, int] = {}
+        self.keeps: set[Plan] = {plan}
+        self.new: dict[Plan, DataFrame] = {}
+        self.enter(plan)
+        one = F.lit(0).cast("int")
+        # what rows, walks and edges of path expressions look like
+        self.pairs = edges.select("src", "trg", "vs", "ve")
+        self.walks = edges.select(F.col("src").alias("root"), F.col("trg").alias("v"), one.alias("st"), "vs", "ve")
+        self.steps = edges.select("src", one.alias("st"), F.col("trg").alias("v2"), one.alias("st2"), "vs", "ve")
+
+    def enter(self, p: Plan) -> None:
+        if p in self.number:
+            return
+        for c in children(p):
+            self.enter(c)
+        if isinstance(p, Join | PairJoin):
+            self.keeps |= {p, p.left, p.right}
+        elif isinstance(p, Union):
+            self.keeps.add(p)
+        self.number[p] = len(self.number)
+
+    def run(self) -> DataFrame:
+        """The rows that the plan adds; the state of its parts is written."""
+        out = self.added(self.plan)
+        kept = [p for p in self.number if p in self.keeps and not isinstance(p, Path)]
+        with ThreadPoolExecutor(max(len(kept), 1)) as pool:  # each waits for jobs of its own
+            list(pool.map(lambda p: self.keep(self.before(p).unionByName(self.added(p)), p, "rows", ["src", "trg"]), kept))
+        return out
+
+    def held(self, p: Plan, name: str, like: DataFrame) -> DataFrame:
+        """A part's state before the batch, less what has expired."""
+        if self.last is None:
+            return like.limit(0)
+        return table(self.spark, like, f"{self.last}/{self.number[p]}-{name}").where(F.col("ve") > self.old)
+
+    def keep(self, rows: DataFrame, p: Plan, name: str, keys: list[str]) -> None:
+        written(coalesce(rows.where(F.col("ve") > self.mark), keys), f"{self.here}/{self.number[p]}-{name}")
+
+    def before(self, p: Plan) -> DataFrame:
+        """The rows that a part held before the batch."""
+        if not isinstance(p, Path):
+            return self.held(p, "rows", self.pairs)
+        return self.ended(p, self.held(p, "walks", self.walks))
+
+    def ended(self, p: Path, walks: DataFrame) -> DataFrame:
+        """The rows of walks that spell a word."""
+        final = compile_path(p.expression).final
+        rows = walks.where(F.col("st").isin(sorted(final))).select(F.col("root").alias("src"), F.col("v").alias("trg"), "vs", "ve")
+        return coalesce(rows, ["src", "trg"])
+
+    def added(self, p: Plan) -> DataFrame:
+        """The rows that the batch adds to a part."""
+        if p not in self.new:
+            rows = self.derive(p)
+            if p in self.keeps and not isinstance(p, Path):
+                rows = stash(uncovered(rows, self.before(p), ["src", "trg"]), "added")
+            self.new[p] = rows
+        return self.new[p]
+
+    def derive(self, p: Plan) -> DataFrame:
+        if isinstance(p, Scan):
+            return self.edges.where(F.col("label") == p.label).select("src", "trg", "vs", "ve")
+        if isinstance(p, NotLoop):
+            return self.added(p.body).where("src <> trg")
+        if isinstance(p, Union):
+            return self.added(p.left).unionByName(self.added(p.right))
+        if isinstance(p, Path):
+            return stash(self.ended(p, self.extended(p)), "added")
+        if isinstance(p, Join):
+            join = lambda left, right: endpoint_join(left, right, p.key, p.output, timed=True)
+        else:
+            join = lambda left, right: pair_join(left, right, p.reverse, p.swap, timed=True)
+        right = self.before(p.right).unionByName(self.added(p.right))
+        return join(self.added(p.left), right).unionByName(join(self.before(p.left), self.added(p.right)))
+
+    def extended(self, p: Path) -> DataFrame:
+        """The walks that the batch adds to a path expression."""
+        dfa, given, keys, ends = compile_path(p.expression), dict(p.inputs), ["root", "v", "st"], ["src", "st", "v2", "st2"]
+        edges = self.edges.where(F.col("label").isin(sorted(dfa.alphabet() - set(given))))
+        for name, q in p.inputs:
+            edges = edges.unionByName(self.added(q).withColumn("label", F.lit(name)))
+        fresh = stash(coalesce(product_edges(edges, dfa).withColumnsRenamed({"trg": "v2"}), ends), "steps")
+        steps = stash(self.held(p, "steps", self.steps).unionByName(fresh), "steps")
+        seed = fresh.where("st = 0").select(F.col("src").alias("root"), F.col("v2").alias("v"), F.col("st2").alias("st"), "vs", "ve")
+        seen = self.held(p, "walks", self.walks)
+
+        def follow(rows: DataFrame, along: DataFrame) -> DataFrame:
+            e = along.withColumnsRenamed({c: f"_{c}" for c in along.columns})
+            vs, ve = F.greatest("vs", "_vs"), F.least("ve", "_ve")
+            met = rows.join(e, (F.col("v") == F.col("_src")) & (F.col("st") == F.col("_st")) & (vs < ve))
+            return met.select("root", F.col("_v2").alias("v"), F.col("_st2").alias("st"), vs.alias("vs"), ve.alias("ve"))
+
+        paths: list[str] = []
+        rows = uncovered(seed.unionByName(follow(seen, fresh)), seen, keys)
+        while written(rows, path := new_path(self.spark, "walks")):
+            paths.append(path)
+            known = seen.unionByName(table(self.spark, seed, *paths))
+            rows = uncovered(follow(table(self.spark, seed, path), steps), known, keys)
+        found = table(self.spark, seed, *paths) if paths else seed.limit(0)
+        self.keep(steps, p, "steps", ends)
+        self.keep(seen.unionByName(found), p, "walks", keys)
+        return found
+
+
 @dataclass
 class Epoch:
     """What a micro-batch did."""
@@ -58,14 +187,11 @@ class GraphStream:
     a batch that is run again after a failure starts from the state before it, and one that was finished does nothing.
     Both state and results are bounded by the window's content.
 
-    A path expression over edges is extended by each batch's new edges only; what has been reached stays, with its own
-    interval, so nothing is derived again when edges expire.  Other plans are evaluated over the window's edges, and
-    what was emitted before is left out.
+    Nothing is evaluated anew: each part of the plan takes in what its inputs added (see ``Increment``).
     """
 
     def __init__(self, spark: SparkSession, plan: Plan, window: int, state: str, output: str, lateness: int = 0):
         self.spark, self.plan, self.window, self.state, self.output, self.lateness = spark, plan, window, state.rstrip("/"), output.rstrip("/"), lateness
-        self.dfa = compile_path(plan.expression) if isinstance(plan, Path) and not plan.inputs else None
 
     def note(self, batch: int) -> Epoch | None:
         path = f"{self.state}/{batch}/note"
@@ -95,70 +221,15 @@ class GraphStream:
         fresh = edges.where(F.col("ts") >= old) if before else edges
         top = fresh.agg(F.max("ts"), F.count(F.lit(1))).first()
         mark = max(x for x in (old, None if top[0] is None else top[0] - self.lateness, -(2**62)) if x is not None)
-        fresh = wscan(fresh.where(F.col("label").isin(self.used())), self.window)
+        fresh = coalesce(wscan(fresh.where(F.col("label").isin(self.used())), self.window), ["src", "label", "trg"])
         here, last = f"{self.state}/{batch}", f"{self.state}/{batch - 1}" if before else None
-        step = self.extend if self.dfa else self.evaluate
-        emitted = step(fresh, here, last, old, mark)
-        written(emitted, f"{self.output}/batch={batch}")
-        epoch = Epoch(batch, mark, top[1], late, self.spark.read.parquet(f"{self.output}/batch={batch}").count())
+        emitted = Increment(stash(fresh, "edges"), self.plan, here, last, old, mark).run()
+        epoch = Epoch(batch, mark, top[1], late, written(emitted, f"{self.output}/batch={batch}"))
         written(self.spark.createDataFrame([Row(**epoch.__dict__)], "batch long, watermark long, edges long, late long, emitted long"), f"{here}/note")
         if batch > 1:
             remove(self.spark, f"{self.state}/{batch - 2}")
         return epoch
 
-    def held(self, last: str | None, name: str, like: DataFrame, old: int | None) -> DataFrame:
-        """Rows of the state before that haven't expired."""
-        if last is None:
-            return like.limit(0)
-        return table(self.spark, like, f"{last}/{name}").where(F.col("ve") > old)
-
-    def extend(self, fresh: DataFrame, here: str, last: str | None, old: int | None, mark: int) -> DataFrame:
-        keys = ["root", "v", "st"]
-        new_steps = coalesce(product_edges(fresh, self.dfa).withColumnsRenamed({"trg": "v2"}), ["src", "st", "v2", "st2"])
-        new_steps = stash(new_steps, "steps")
-        steps = stash(self.held(last, "steps", new_steps, old).unionByName(new_steps), "steps")
-        seed = new_steps.where("st = 0").select(F.col("src").alias("root"), F.col("v2").alias("v"), F.col("st2").alias("st"), "vs", "ve")
-        seen = self.held(last, "reach", seed, old)
-
-        def follow(rows: DataFrame, along: DataFrame) -> DataFrame:
-            e = along.withColumnsRenamed({c: f"_{c}" for c in along.columns})
-            vs, ve = F.greatest("vs", "_vs"), F.least("ve", "_ve")
-            met = rows.join(e, (F.col("v") == F.col("_src")) & (F.col("st") == F.col("_st")) & (vs < ve))
-            return met.select("root", F.col("_v2").alias("v"), F.col("_st2").alias("st"), vs.alias("vs"), ve.alias("ve"))
-
-        def unseen(rows: DataFrame, known: DataFrame) -> DataFrame:
-            n, s = coalesce(rows, keys).alias("n"), known.alias("s")
-            on = (F.col("s.vs") <= F.col("n.vs")) & (F.col("s.ve") >= F.col("n.ve"))
-            for c in keys:
-                on = on & (F.col(f"n.{c}") == F.col(f"s.{c}"))
-            return n.join(s, on, "left_anti")
-
-        paths: list[str] = []
-        rows = unseen(seed.unionByName(follow(seen, new_steps)), seen)
-        while True:
-            path = new_path(self.spark, "reach")
-            if not written(rows, path):
-                break
-            paths.append(path)
-            known = seen.unionByName(table(self.spark, seed, *paths))
-            rows = unseen(follow(table(self.spark, seed, path), steps), known)
-        found = table(self.spark, seed, *paths) if paths else seed.limit(0)
-        written(coalesce(steps.where(F.col("ve") > mark), ["src", "st", "v2", "st2"]), f"{here}/steps")
-        written(coalesce(seen.unionByName(found).where(F.col("ve") > mark), keys), f"{here}/reach")
-        final = found.where(F.col("st").isin(sorted(self.dfa.final)))
-        return coalesce(final.select(F.col("root").alias("src"), F.col("v").alias("trg"), "vs", "ve"), ["src", "trg"])
-
-    def evaluate(self, fresh: DataFrame, here: str, last: str | None, old: int | None, mark: int) -> DataFrame:
-        edges = coalesce(fresh.unionByName(self.held(last, "edges", fresh, old)), ["src", "label", "trg"])
-        edges = stash(edges, "edges")
-        result = stash(Evaluation(edges, VALID_TIME).run(self.plan), "result")
-        seen = self.held(last, "result", result, old).alias("s")
-        n = result.alias("n")
-        on = (F.col("n.src") == F.col("s.src")) & (F.col("n.trg") == F.col("s.trg")) & (F.col("s.vs") <= F.col("n.vs")) & (F.col("s.ve") >= F.col("n.ve"))
-        written(edges.where(F.col("ve") > mark), f"{here}/edges")
-        written(result.where(F.col("ve") > mark), f"{here}/result")
-        return n.join(seen, on, "left_anti")
-
     def start(self, edges: DataFrame, checkpoint: str) -> DataStreamWriter:
         """A stream writer that feeds the micro-batches of ``edges``; start it with a trigger of choice."""
         return edges.writeStream.foreachBatch(lambda rows, batch: self.process(rows, batch) and None).option("checkpointLocation", checkpoint)
