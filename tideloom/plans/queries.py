@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+import json
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import intervals
+from ..functions.automata import determinize, minimize, nfa_of
+from ..functions.regex import PathSyntaxError, parse
 from ..operators import relational, window as w
 from ..operators.join import SELECTORS, endpoint_join, pair_join
 from ..sources import edges as source
@@ -99,9 +104,12 @@ def start_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(source.start_timestamp(graph(spark, sf_dir)),)], "start_timestamp long")
 
 
-@query(f"SELECT count(DISTINCT src) AS vertices FROM ({EDGES})")
+@query(f"SELECT edges, count(*) AS vertices FROM (SELECT count(*) AS edges FROM (SELECT a.src FROM ({EDGES}) a JOIN (SELECT DISTINCT trg FROM ({EDGES}) x) b ON a.src = b.trg) GROUP BY src) GROUP BY edges")
 def hashed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source.hashed_ids(graph(spark, sf_dir)).agg(F.count_distinct("src").alias("vertices"))
+    """Vertices with edges in and out, by their number of edges out; hashes of sources meet those of targets."""
+    edges = source.hashed_ids(graph(spark, sf_dir))
+    both = edges.join(edges.select(F.col("trg").alias("src")).distinct(), "src", "left_semi")
+    return both.groupBy("src").agg(F.count(F.lit(1)).alias("edges")).groupBy("edges").agg(F.count(F.lit(1)).alias("vertices"))
 
 
 @query(f"SELECT src, label, trg, ts AS vs, ts + {6 * HOUR} AS ve FROM ({EDGES})")
@@ -263,6 +271,7 @@ def streamed(name: str, plan: Plan, window: int, epochs: int) -> None:
 
 streamed("stream_query1", library.query1("click"), 6 * HOUR, 3)
 streamed("stream_query2_a", library.query2a(*LABELS[:2]), 6 * HOUR, 3)
+streamed("stream_query8", library.query8("purchase"), 6 * HOUR, 3)
 streamed("stream_query6_cq", library.query6_cq(*LABELS), 2 * DAY, 3)
 
 SQL["temporal_join_spans"] = SqlText(valid_time_sql(6 * HOUR), VALID_TIME).statement(Join(A, B))
@@ -327,3 +336,52 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "report") + "/run"
     runs.write_metrics(_measured(spark, sf_dir), folder, 100.0)
     return runs.summarize(spark, [folder]).select("run", "slides", "batch_size", "total_size", "total_time", "throughput")
+
+
+@query(f"{MEASURED} SELECT 'query1-{12 * HOUR}-{5 * DAY}-7' AS run, true AS finished, count(*) AS slides, avg(batch)::DOUBLE AS batch_size, avg(total)::DOUBLE AS total_size FROM s")
+def experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A configuration's run over a text file: its summary, and what the memory file says of it."""
+    lines, report = new_path(spark, "dataset"), new_path(spark, "report")
+    graph(spark, sf_dir).select(F.concat_ws(" ", "src", "label", "trg", "ts").alias("value")).write.text(lines)
+    run = {"query-name": "query1", "index": 7, "window-size": 12 * HOUR, "slide-size": 5 * DAY, "predicates": ["click"]}
+    spec = {"name": "rows", "dataset": lines, "input-type": "it", "report-folder": report, "timeout": 600, "runs": [run]}
+    with tempfile.NamedTemporaryFile("w", suffix=".json", encoding="utf-8") as config:  # the driver alone reads it
+        json.dump(spec, config)
+        config.flush()
+        summary = runs.run_experiment(spark, config.name)
+    memory = spark.read.schema("run string, finished boolean, peak_mb double").option("header", True).csv(f"{report}/memory.csv")
+    return summary.join(memory, "run").select("run", "finished", "slides", "batch_size", "total_size")
+
+
+#: An expression, and the same for SQL's regular expressions.
+WORDS = ("(a/b)+|c/b*|(a|c)*/b", "(ab)+|cb*|[ac]*b")
+
+
+@query(
+    "WITH RECURSIVE w(word) AS (SELECT '' UNION ALL SELECT word || l FROM w, (VALUES ('a'), ('b'), ('c')) t(l) WHERE length(word) < 5), "
+    f"r AS (SELECT word, regexp_full_match(word, '({WORDS[1]})') AS ok FROM w) SELECT word, ok AS nfa, ok AS dfa, ok AS minimal FROM r"
+)
+def automaton_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of up to five labels the three automata of an expression accept."""
+    nfa = nfa_of(parse(WORDS[0]))
+    machines = [nfa, determinize(nfa), minimize(determinize(nfa))]
+    words = ["".join(w) for n in range(6) for w in itertools.product("abc", repeat=n)]
+    return spark.createDataFrame([(w, *[m.accepts(w) for m in machines]) for w in words], "word string, nfa boolean, dfa boolean, minimal boolean")
+
+
+#: Expressions that are errors, with the kinds of error.
+REJECTED = {"a?": "UnsupportedPath", "a{2}": "UnsupportedPath", "a{1,}": "UnsupportedPath", "a{1,3}": "UnsupportedPath", "^a": "UnsupportedPath", "a^b": "UnsupportedPath", "a//b": "PathSyntaxError", "(a": "PathSyntaxError"}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in REJECTED.items()) + ") t(path, error)")
+def rejected_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expressions that are not supported, or none at all, with the error that they raise."""
+
+    def error(path: str) -> str | None:
+        try:
+            parse(path)
+        except PathSyntaxError as e:
+            return type(e).__name__
+        return None
+
+    return spark.createDataFrame([(p, error(p)) for p in REJECTED], "path string, error string")
