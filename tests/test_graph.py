@@ -8,7 +8,7 @@ from tideloom.operators.join import SELECTORS, endpoint_join, pair_join
 from tideloom.operators.path import TooManyRounds, path_query
 from tideloom.operators import path, relational, window as w
 from tideloom.plans import evaluate, library
-from tideloom.plans.algebra import Path
+from tideloom.plans.algebra import Join, PairJoin, Path, Scan
 from tideloom.sources.edges import hashed_ids, label_filter, read_edges, start_timestamp
 
 EDGES = "src long, label string, trg long, ts long"
@@ -240,3 +240,41 @@ def test_buckets_spare_the_exchange(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         found.close()
+
+
+#: Who acts on what: a hub that many act on, and few pairs that are wanted.
+HUB = [(k, label, 1000, 10 + k % 3) for k in range(200) for label in "abc"] + [(k, "b", 2000 + k % 50, 11) for k in range(200)] + [(7, "c", 8, 12), (8, "c", 7, 12)]
+
+
+def joined_rows(monkeypatch):
+    """The numbers of rows that endpoint joins of plans make from now on."""
+    made, plain = [], evaluate.endpoint_join
+
+    def counted(*args, **kwargs):
+        out = plain(*args, **kwargs)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(evaluate, "endpoint_join", counted)
+    return made
+
+
+def plainly(edges, plan, mode):
+    """A pair join by the rows of both its sides."""
+    held = evaluate.Evaluation(edges, mode)
+    left, right = held.run(plan.left), held.run(plan.right)
+    return rows(held.canonical(pair_join(left, right, plan.reverse, plan.swap, mode.by, mode.timed)))
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+@pytest.mark.parametrize("swap", [False, True])
+def test_pairs_of_two_joins(spark, monkeypatch, reverse, swap):
+    """What two joins have in common is found from their corners, if that makes fewer rows."""
+    plan = PairJoin(Join(Scan("a"), Scan("c"), "TT", "SS"), Join(Scan("b"), Scan("c"), "TT", "SS"), reverse, swap)
+    for raw in ([e for e in HUB if e[2] >= 1000 and e[0] < 120], random_edges(3, edges=80)):
+        edges = evaluate.coalesce(w.wscan(spark.createDataFrame(raw, EDGES), 15), ["src", "label", "trg"])
+        expected = plainly(edges, plan, evaluate.VALID_TIME)
+        with monkeypatch.context() as patch:
+            made = joined_rows(patch)
+            assert rows(evaluate.Evaluation(edges, evaluate.VALID_TIME).run(plan)) == expected
+        assert max(made, default=0) < 1000 and expected
