@@ -278,3 +278,26 @@ def test_pairs_of_two_joins(spark, monkeypatch, reverse, swap):
             made = joined_rows(patch)
             assert rows(evaluate.Evaluation(edges, evaluate.VALID_TIME).run(plan)) == expected
         assert max(made, default=0) < 1000 and expected
+
+
+def in_mode(spark, raw, mode):
+    """Edges as plans take them in a mode."""
+    edges = w.wscan(spark.createDataFrame(raw, EDGES), 15)
+    if mode is evaluate.VALID_TIME:
+        return evaluate.coalesce(edges, ["src", "label", "trg"])
+    if mode is evaluate.SNAPSHOT:
+        return edges.select("src", "label", "trg").distinct()
+    return edges.selectExpr("explode(array(0L, vs % 3 + 1)) AS b", "src", "label", "trg").distinct()
+
+
+@pytest.mark.parametrize("mode", [evaluate.VALID_TIME], ids=str)
+def test_wanted_pairs_first(spark, monkeypatch, mode):
+    """A join whose pairs are looked up is made from those pairs, if that makes fewer rows."""
+    for reverse, swap, raw in ((True, False, HUB), (False, True, HUB), (True, True, random_edges(4, edges=80))):
+        plan = PairJoin(Join(Scan("a"), Scan("b"), "TT", "SS"), Scan("c"), reverse, swap)
+        edges = in_mode(spark, raw, mode)
+        expected = plainly(edges, plan, mode)
+        with monkeypatch.context() as patch:
+            made = joined_rows(patch)
+            assert rows(evaluate.Evaluation(edges, mode).run(plan)) == expected
+        assert max(made, default=0) < 1000 and expected
