@@ -290,7 +290,7 @@ def in_mode(spark, raw, mode):
     return edges.selectExpr("explode(array(0L, vs % 3 + 1)) AS b", "src", "label", "trg").distinct()
 
 
-@pytest.mark.parametrize("mode", [evaluate.VALID_TIME, evaluate.BOUNDARIES], ids=str)
+@pytest.mark.parametrize("mode", [evaluate.VALID_TIME, evaluate.BOUNDARIES, evaluate.SNAPSHOT], ids=str)
 def test_wanted_pairs_first(spark, monkeypatch, mode):
     """A join whose pairs are looked up is made from those pairs, if that makes fewer rows."""
     for reverse, swap, raw in ((True, False, HUB), (False, True, HUB), (True, True, random_edges(4, edges=80))):
