@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tideloom.operators.component import alike_closure
 from tideloom.operators.join import SELECTORS, endpoint_join, pair_join
 from tideloom.operators.path import TooManyRounds, path_query
 from tideloom.operators import path, relational, window as w
@@ -301,3 +302,25 @@ def test_wanted_pairs_first(spark, monkeypatch, mode):
             made = joined_rows(patch)
             assert rows(evaluate.Evaluation(edges, mode).run(plan)) == expected
         assert max(made, default=0) < 1000 and expected
+
+
+@pytest.mark.parametrize("by", [(), ("b",)])
+def test_closure_of_what_is_alike(spark, monkeypatch, by):
+    """Pairs of a component are listed without a search through them; chains are long, and components larger than a chunk."""
+    chain = [(k, k + d) for k in range(40) for d in (0, 1)]
+    groups = [(100 + k, 900 + k % 3) for k in range(30)] + [(200, 990)]
+    raw = [(b, x, y) for b in (1, 2) for x, y in chain + groups if (b, x, y) != (2, 20, 20)]
+    pairs = spark.createDataFrame(raw, "b long, src long, trg long").where("b = 2" if not by else "b > 0").select(*by, "src", "trg")
+    monkeypatch.setattr("tideloom.operators.component.CHUNK", 7)
+    expected = []
+    for b in {1, 2} if by else {2}:
+        own = [(x, y) for c, x, y in raw if c == b]
+        linked = closure({(x, y) for x, m in own for y, n in own if m == n and x != y})
+        expected += [(*[b] * len(by), x, y) for x, y in linked]
+    assert rows(alike_closure(pairs, by)) == sorted(expected)
+    alone = [(*[b] * len(by), 200, 200) for b in ({1, 2} if by else {2})]
+    assert rows(alike_closure(pairs, by, loops=True)) == sorted(expected + alone)
+    monkeypatch.setattr(evaluate, "path_query", None)  # no fixpoint over pairs
+    edges = pairs.selectExpr(*by, "src", "'a' AS label", "trg")
+    mode = evaluate.BOUNDARIES if by else evaluate.SNAPSHOT
+    assert rows(evaluate.Evaluation(edges, mode).run(library.query8("a"))) == sorted(expected)
