@@ -324,3 +324,13 @@ def test_closure_of_what_is_alike(spark, monkeypatch, by):
     edges = pairs.selectExpr(*by, "src", "'a' AS label", "trg")
     mode = evaluate.BOUNDARIES if by else evaluate.SNAPSHOT
     assert rows(evaluate.Evaluation(edges, mode).run(library.query8("a"))) == sorted(expected)
+
+
+def test_components_at_boundaries(spark, monkeypatch):
+    """query8 at all boundaries, as the closure of pairs has it, without that closure."""
+    edges = spark.createDataFrame(random_edges(11, edges=90), EDGES)
+    plan = library.query8("a")
+    closed = Path("(__r|__none)+", plan.inputs)  # the same, searched
+    expected = rows(evaluate.at_boundaries(edges, closed, 12, 5))
+    monkeypatch.setattr(evaluate, "path_query", None)
+    assert rows(evaluate.at_boundaries(edges, plan, 12, 5)) == expected and expected
