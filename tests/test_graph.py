@@ -7,7 +7,7 @@ import pytest
 from tideloom.operators.component import alike_closure
 from tideloom.operators.join import SELECTORS, endpoint_join, pair_join
 from tideloom.operators.path import TooManyRounds, path_query
-from tideloom.operators import path, relational, window as w
+from tideloom.operators import join, path, relational, window as w
 from tideloom.plans import evaluate, library
 from tideloom.plans.algebra import Join, PairJoin, Path, Scan
 from tideloom.sources.edges import hashed_ids, label_filter, read_edges, start_timestamp
@@ -334,3 +334,21 @@ def test_components_at_boundaries(spark, monkeypatch):
     expected = rows(evaluate.at_boundaries(edges, closed, 12, 5))
     monkeypatch.setattr(evaluate, "path_query", None)
     assert rows(evaluate.at_boundaries(edges, plan, 12, 5)) == expected and expected
+
+
+@pytest.mark.parametrize("mode", [evaluate.SNAPSHOT], ids=str)
+def test_join_by_classes(spark, monkeypatch, mode):
+    """Large joins of a closure are made by classes of vertices with the same neighbours, and are the same."""
+    wheel = [(k, label, (k * d) % 6, 10 + k % 3) for k in range(60) for d in (1, 2) for label in "abc" if k != (k * d) % 6]
+    for raw in (wheel, random_edges(23, edges=120)):
+        edges = in_mode(spark, raw, mode)
+        with monkeypatch.context() as patch:
+            plain = joined_rows(patch)
+            expected = rows(evaluate.Evaluation(edges, mode).run(library.query7("a", "b", "c")))
+        with monkeypatch.context() as patch:
+            patch.setattr(join, "MANY_PAIRS", 0)
+            patch.setattr(join, "MANY_TIMES", 0)
+            patch.setattr(join, "FEW_MEMBERS", 0 if raw is wheel else 200_000)
+            made = joined_rows(patch)
+            assert rows(evaluate.Evaluation(edges, mode).run(library.query7("a", "b", "c"))) == expected
+        assert expected and len(made) == len(plain) - 1
