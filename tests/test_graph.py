@@ -336,7 +336,7 @@ def test_components_at_boundaries(spark, monkeypatch):
     assert rows(evaluate.at_boundaries(edges, plan, 12, 5)) == expected and expected
 
 
-@pytest.mark.parametrize("mode", [evaluate.SNAPSHOT], ids=str)
+@pytest.mark.parametrize("mode", [evaluate.SNAPSHOT, evaluate.BOUNDARIES], ids=str)
 def test_join_by_classes(spark, monkeypatch, mode):
     """Large joins of a closure are made by classes of vertices with the same neighbours, and are the same."""
     wheel = [(k, label, (k * d) % 6, 10 + k % 3) for k in range(60) for d in (1, 2) for label in "abc" if k != (k * d) % 6]
