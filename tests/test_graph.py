@@ -7,7 +7,7 @@ import pytest
 from tideloom.operators.component import alike_closure
 from tideloom.operators.join import SELECTORS, endpoint_join, pair_join
 from tideloom.operators.path import TooManyRounds, path_query
-from tideloom.operators import join, path, relational, window as w
+from tideloom.operators import component, join, path, relational, window as w
 from tideloom.plans import evaluate, library
 from tideloom.plans.algebra import Join, PairJoin, Path, Scan
 from tideloom.sources.edges import hashed_ids, label_filter, read_edges, start_timestamp
@@ -352,3 +352,22 @@ def test_join_by_classes(spark, monkeypatch, mode):
             made = joined_rows(patch)
             assert rows(evaluate.Evaluation(edges, mode).run(library.query7("a", "b", "c"))) == expected
         assert expected and len(made) == len(plain) - 1
+
+
+def test_components_for_all_time(spark, monkeypatch):
+    """query8 for all time, as the closure of pairs has it, without that closure; some links outlast a stretch of time."""
+    monkeypatch.setattr(component, "BINS", 8)
+    monkeypatch.setattr(component, "CHUNK", 5)
+    lasting = [(k, "a", 20 + k % 3, ts) for k in range(9) for ts in range(4, 60, 7)]
+    with_loops = Path("__r*", (("__r", Join(Scan("a"), Scan("a"), "SS", "TT")),))
+    for changes, raw, plan in ((3, lasting + random_edges(32, edges=60), library.query8("a")), (1000, random_edges(31, edges=60), with_loops)):
+        edges = spark.createDataFrame(raw, EDGES)
+        expected = rows(evaluate.valid_time(edges, Path("(__r|__none)+", plan.inputs), 9))  # the same, searched
+        with monkeypatch.context() as patch:
+            patch.setattr(component, "CHANGES", changes)
+            patch.setattr(evaluate, "path_query", None)
+            assert rows(evaluate.valid_time(edges, plan, 9)) == expected and expected
+    edges = spark.createDataFrame([("x", "a", "m", 1), ("y", "a", "m", 3), ("z", "a", "n", 4), ("y", "a", "n", 5)], "src string, label string, trg string, ts long")
+    got = rows(evaluate.valid_time(edges, library.query8("a"), 5))
+    assert [g for g in got if g[0] == "x"] == [("x", "x", 3, 6), ("x", "y", 3, 6), ("x", "z", 5, 6)]
+    assert rows(evaluate.valid_time(edges.limit(0), library.query8("a"), 5)) == []
