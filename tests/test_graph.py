@@ -371,3 +371,17 @@ def test_components_for_all_time(spark, monkeypatch):
     got = rows(evaluate.valid_time(edges, library.query8("a"), 5))
     assert [g for g in got if g[0] == "x"] == [("x", "x", 3, 6), ("x", "y", 3, 6), ("x", "z", 5, 6)]
     assert rows(evaluate.valid_time(edges.limit(0), library.query8("a"), 5)) == []
+
+
+@pytest.mark.parametrize("mode", [evaluate.SNAPSHOT, evaluate.BOUNDARIES], ids=str)
+def test_walks_from_inner_vertices(spark, monkeypatch, mode):
+    """A closure is searched from vertices with edges in and out; most of these vertices have none in."""
+    raw = [(100 + k, "ab"[k % 2], k % 7, 10 + k % 3) for k in range(60)] + random_edges(3, vertices=7, edges=12)
+    edges = in_mode(spark, raw, mode)
+    seen, plain = [], path.searched
+    with monkeypatch.context() as patch:
+        patch.setattr(path, "searched", lambda e, *rest: seen.append(e) or plain(e, *rest))
+        got = rows(evaluate.Evaluation(edges, mode).run(Path("(a|b)+")))
+    monkeypatch.setattr(path, "OUTER_TIMES", 10**6)
+    assert got == rows(evaluate.Evaluation(edges, mode).run(Path("(a|b)+"))) and got
+    assert len(seen) == 1 and seen[0].where("src >= 100").isEmpty()
