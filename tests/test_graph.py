@@ -373,6 +373,26 @@ def test_components_for_all_time(spark, monkeypatch):
     assert rows(evaluate.valid_time(edges.limit(0), library.query8("a"), 5)) == []
 
 
+@pytest.mark.parametrize(("loops", "few"), [(False, 200_000), (True, 0)])
+def test_twins_for_all_time(spark, monkeypatch, loops, few):
+    """Vertices with the same rows are worked through as one class, of which two are followed, and all are in the result."""
+    monkeypatch.setattr(component, "CHUNK", 2)
+    monkeypatch.setattr(component, "FEW_MEMBERS", few)
+    monkeypatch.setattr(component, "CHANGES", 5)
+    once = [(100 + k, "a", 90 + k % 3, 5 * k) for k in range(5)] + [(200, "a", 95, 7), (200, "a", 95, 40)]
+    raw = [(x + 1000 * c, label, y, ts) for x, label, y, ts in once for c in range(5)] + [(1, "a", 91, 6), (2, "a", 97, 6)]
+    own = Join(Scan("a"), Scan("a"), "TT", "SS")
+    plan = Path("__r+", (("__r", own),)) if loops else library.query8("a")
+    edges = spark.createDataFrame(raw, EDGES)
+    expected = rows(evaluate.valid_time(edges, Path("(__r|__none)+", plan.inputs), 9))  # the same, searched
+    assert rows(evaluate.valid_time(edges, plan, 9)) == expected
+    assert {(200, 4200, 40, 49), (4200, 4200, 7, 16)} <= set(expected)
+    links = spark.createDataFrame([(x, y, ts, ts + 9) for x, _, y, ts in raw], "src long, trg long, vs long, ve long")
+    pairs, members = component.alike_classes(links, loops)
+    assert {r.src for r in pairs.collect()} <= {r.one for r in members.collect()} == {1, 2, 100, 101, 102, 103, 104, 200}
+    assert members.count() == 32
+
+
 @pytest.mark.parametrize("mode", [evaluate.SNAPSHOT, evaluate.BOUNDARIES], ids=str)
 def test_walks_from_inner_vertices(spark, monkeypatch, mode):
     """A closure is searched from vertices with edges in and out; most of these vertices have none in."""
