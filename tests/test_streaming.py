@@ -41,6 +41,19 @@ def test_components_over_a_stream(spark, tmp_path, monkeypatch):
         assert rows(stream.results()) == expected and expected
 
 
+def test_twins_over_a_stream(spark, tmp_path):
+    """What is emitted of a closure of what is alike is between classes, which later batches may divide."""
+    once = [(100, 90, 1), (101, 90, 3), (100, 90, 8), (102, 91, 9), (101, 91, 13), (102, 90, 30)]
+    raw = sorted(((x + 1000 * c, "a", y, ts) for x, y, ts in once for c in range(4)), key=lambda r: r[3])
+    raw = [r for r in raw if r != (2101, "a", 91, 13)]  # no longer as the others of its class
+    plan = library.query8("a")
+    stream = GraphStream(spark, plan, 6, str(tmp_path / "state"), str(tmp_path / "out"))
+    epochs = feed(stream, spark, raw, 12)
+    expected = rows(evaluate.valid_time(spark.createDataFrame(raw, EDGES), Path("(__r|__none)+", plan.inputs), 6))  # searched
+    assert rows(stream.results()) == expected
+    assert 10 * sum(e.emitted for e in epochs) < 3 * len(expected)
+
+
 def test_late_edges_are_counted(spark, tmp_path):
     stream = GraphStream(spark, library.query1("a"), 10, str(tmp_path / "state"), str(tmp_path / "out"))
     feed(stream, spark, [(1, "a", 2, 100)], 1)
