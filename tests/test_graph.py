@@ -405,3 +405,17 @@ def test_walks_from_inner_vertices(spark, monkeypatch, mode):
     monkeypatch.setattr(path, "OUTER_TIMES", 10**6)
     assert got == rows(evaluate.Evaluation(edges, mode).run(Path("(a|b)+"))) and got
     assert len(seen) == 1 and seen[0].where("src >= 100").isEmpty()
+
+
+@pytest.mark.parametrize("mode", [evaluate.SNAPSHOT, evaluate.BOUNDARIES], ids=str)
+def test_walks_from_twins(spark, monkeypatch, mode):
+    """What outer vertices reach is found once for all of them with the same targets."""
+    raw = [(100 + k, "a", (k % 5) * d % 7, 10 + k % 5) for k in range(50) for d in (1, 2)] + [(x, "a", x + 1, 11) for x in range(6)] + [(5, "a", 2, 12)]
+    edges = in_mode(spark, raw, mode)
+    expected = rows(evaluate.Evaluation(edges, mode).run(Path("a+")))
+    monkeypatch.setattr(path, "MANY_OUTER", 0)
+    seen, plain = [], path.stash
+    monkeypatch.setattr(path, "stash", lambda df, name: seen.append((name, df)) or plain(df, name))
+    assert rows(evaluate.Evaluation(edges, mode).run(Path("a+"))) == expected
+    of_classes, reach = (df.where("src >= 100") for name, df in seen if name == "reach")
+    assert 5 * of_classes.count() < reach.count() == len([r for r in expected if r[-2] >= 100])
